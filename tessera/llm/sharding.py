@@ -96,8 +96,8 @@ draws AS (
 placed AS (
   SELECT doc_id, arg_min(s, (d, s)) FILTER (s < 40) AS shard, arg_min(s, (d, s)) AS grown FROM draws GROUP BY doc_id)
 SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size,
-       xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), x -> ('0x' || x)::BIGINT)),
-                       (a, b) -> xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)::BIGINT AS text_crc32,
+       xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                       lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)::BIGINT AS text_crc32,
        'key' AS law, shard::INT AS shard,
        (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id::VARCHAR), 1, 3), doc_id) - 1)::BIGINT AS slot,
        grown::INT AS grown_shard
