@@ -55,12 +55,13 @@ def block_count(df: DataFrame, text: str, target_bytes: int) -> int:
     return max(shuffle_partitions(df.sparkSession), -(-total // target_bytes))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, target_bytes: int = 8 << 20) -> DataFrame:
-    """``(block, id, text)`` with documents dealt evenly to blocks by a hash of id and text."""
+def blocked(docs: DataFrame, id_col: str, text_col: str, target_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
+    """``(block, id, text)`` with documents dealt evenly to blocks by a hash of id and
+    length, and the number of blocks."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = block_count(src, "text", target_bytes)
     block = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)).cast("int")
-    return src.select(block.alias("block"), "id", "text")
+    return src.select(block.alias("block"), "id", "text"), n
 
 
 def numbered(df: DataFrame, group: str, bucket: str, order: list[str], name: str) -> DataFrame:
