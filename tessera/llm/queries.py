@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, exact_topk, langid, line_dedup, sharding, superkmers, url_filter
+from . import best_fit, decontaminate, exact_topk, langid, line_dedup, sharding, suffixes, superkmers, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": superkmers.op5_substring_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
