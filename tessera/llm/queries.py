@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, decontaminate, exact_topk, langid, line_dedup, sharding, suffixes, superkmers, url_filter
+from . import best_fit, decontaminate, exact_topk, langid, line_dedup, part_enum, sharding, suffixes, superkmers, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": superkmers.op5_substring_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_near_duplicates": part_enum.op8_near_duplicates,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
@@ -22,5 +23,6 @@ SQL = {
     "op5_substring_dedup": superkmers.OP5_SQL,
     "op6_sharding": sharding.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_near_duplicates": part_enum.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
