@@ -57,8 +57,8 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int64)
 
     def _learn(self, keys: list[int], strings: list[str]):
-        for key, ids in zip(keys, self.bpe.encode_ordinary_batch(strings, num_threads=1), strict=True):
-            n = len(self.known)
+        for key, string in zip(keys, strings, strict=True):
+            ids, n = self.bpe.encode_ordinary(string), len(self.known)
             self.known[key] = n
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint16)])

@@ -128,10 +128,12 @@ def leaks(
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select(F.col("doc_id").alias(id_col), "item_id", "b.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that leak an item; null ids stay."""
-    bad = leaks(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **how) -> DataFrame:
+    """``docs`` without the documents that leak an item; rows with a null id stay."""
+    bad = leaks(docs, benchmark, id_col, text_col, broadcast_rows=broadcast_rows, **how)
+    bad = stored(bad.select(F.col(id_col).alias("__bad")).distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
