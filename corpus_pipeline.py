@@ -1,6 +1,66 @@
-STAGES: list = []
+"""From documents to packed training sequences in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import best_fit, decontaminate, langid, line_dedup, part_enum
+from tessera.llm.common import stored
+
+#: A text is rejected if it has no letters or if its main language has less than this share.
+LEAST_SHARE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned from the labelled ones; the rest goes."""
+    found = langid.identify(docs, langid.fit(docs, held_out=None))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of other documents go; ``n_chars`` is that of what is left."""
+    out = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate group stays."""
+    return part_enum.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values, go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,024 tokens and their places in sequences."""
+    return best_fit.pack(stored(best_fit.token_pieces(docs, best_fit.default_tokenizer()), "pieces"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_shared_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: SQL can't express the language model; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, name)
+    return docs
