@@ -19,8 +19,12 @@ FINDING_STATUS = ("candidate", "confirmed", "rejected")
 VERSION = 1
 
 
+_TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+
+
 def _table(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    pairs = (c.split() for c in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 TABLES: dict[str, T.StructType] = {
