@@ -118,7 +118,7 @@ class _Scan:
             i += 1
             while i < len(self.code):
                 c = self.code[i]
-                if c in "([{" and not (c == "{" and prev not in ":|&<,=>("):
+                if c in "([{" and not (c == "{" and prev not in ":|&<,=("):
                     i, prev = self.close(i) + 1, c
                     continue
                 if c in "{;" or self.code.startswith("=>", i) or c == ")":
