@@ -180,12 +180,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def covered(starts: np.ndarray, lengths, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in one of the given runs."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + lengths, -1)
-    return np.cumsum(d[:-1]) > 0
+def slices(sizes: np.ndarray, target: int):
+    """Runs (first, end) of items with about ``target`` in all, at least one each."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + target, "right"))
+        b = min(max(b, a + 1), len(sizes))
+        yield a, b
+        a = b
 
 
 _SPACE = np.zeros(256, bool)

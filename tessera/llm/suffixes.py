@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, blocked, mixed, ranges, sliding_min, stored, text_chunks
+from .common import Roller, blocked, mixed, ranges, slices, sliding_min, stored, text_chunks
 from .superkmers import _unzip, _zip, runs, tied
 
 _ONE, _TWO = Roller(21), Roller(22)
@@ -202,7 +202,7 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
     repeats = stored(grams.groupBy("shard").applyInArrow(again, "block int, payload binary, sample binary"), "repeats")
     sample = [r[0] for r in repeats.where("sample is not null").select("sample").collect()]  # 256 x 64 numbers at most
     leads = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in sample] or [np.empty(0, np.uint64)]))
-    splitters = np.unique(leads[np.linspace(0, len(leads) - 1, blocks + 1).astype(int)[1:-1]]) if len(leads) else leads
+    splitters = np.unique(leads[np.linspace(0, len(leads) - 1, 2 * blocks + 1).astype(int)[1:-1]]) if len(leads) else leads
     repeats = repeats.select("block", "payload")
 
     def send(table, known):
@@ -228,13 +228,18 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
         n = n.astype(np.int64)
         source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         at = np.cumsum(n + k - 1) - (n + k - 1)
-        w = ranges(at, n)
         owner = np.repeat(np.arange(len(n)), n)
-        keys = [_lead(text, w)] + [r.windows(r.prefix(text), k)[w] for r in (_ONE, _TWO)]
+        parts = []
+        for a, z in slices(n + k - 1, 1 << 20):  # bounds what hashing needs beside the keys
+            part = text[at[a] : at[z - 1] + n[z - 1] + k - 1]
+            w = ranges(at[a:z] - at[a], n[a:z])
+            parts.append([_lead(part, w)] + [r.windows(r.prefix(part), k)[w] for r in (_ONE, _TWO)])
+        keys = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
         twice = many[owner]
         twice[tied(keys)[0]] = True
         # runs of repeated windows within a string
-        brk = np.zeros(len(w), bool)
+        brk = np.zeros(len(owner), bool)
         brk[np.cumsum(n) - n] = True
         new = twice.copy()
         new[1:] &= ~twice[:-1] | brk[1:]
@@ -248,7 +253,7 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
             x = source[own] == i
             to.append(int(blocks_[i]))
             payload.append(_zip(string[own[x]], (first - (np.cumsum(n) - n)[own])[x].astype(np.uint16), length[x].astype(np.uint16)))
-        return pa.table({"block": pa.array(to, pa.int32()), "payload": pa.array(payload, pa.binary()), "found": pa.array([True] * len(to))})
+        return pa.table({"block": pa.array(to, pa.int32()), "payload": pa.array(payload, pa.binary()), "found": pa.array([True] * len(to), pa.bool_())})
 
     def finish(table, answers):
         import pyarrow as pa
