@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.operators.history import keep_first, latest_snapshot
 
-BY_SNAPSHOT = ("files", "modules", "symbols", "edges", "metrics", "tests", "coverage")
+BY_SNAPSHOT = ("files", "modules", "symbols", "edges", "metrics", "tests", "coverage", "vectors")
 
 
 def now() -> dt.datetime:

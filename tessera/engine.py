@@ -112,13 +112,23 @@ class Engine:
             raise ValueError("limit is 1 to 20")
         points = vector = None
         if self.embedder is not None:
-            from tessera.sources.services import embed_column
-
-            cache = self.store.spark.createDataFrame([], "point_id string, text_hash string, model string, vector array<double>")
-            points, _ = search.index_symbols(self.table("symbols"), cache, self.embedder.model_key, lambda d: embed_column(d, self.embedder))
+            points = self.table("vectors").where(F.col("model") == self.embedder.model_key)
             vector = self.embedder.embed([query])[0]
         return search.hybrid_search(self.store.read("symbols"), self.table("edges"), query, points, vector, self.reranker, self.snapshot, limit=limit)
 
+    def reindex(self) -> int:
+        """Store the vectors of this snapshot's symbols; how many had to be embedded.
+
+        Texts embedded before by the same model, in any snapshot, are not embedded again."""
+        from tessera.sources.services import embed_column
+
+        points, new = search.index_symbols(self.table("symbols"), self.store.read("vectors"), self.embedder.model_key, lambda d: embed_column(d, self.embedder))
+        have = self.table("vectors").select("id", "text_hash", "model")
+        points = graph.cut(points.join(have, ["id", "text_hash", "model"], "left_anti"))
+        n = new.count()
+        self.store.append("vectors", points)
+        return n
+
     def context_pack(self, query: str | None = None, module: str | None = None, symbols: list[str] = (), budget: int = 2000, include_source: bool = False, seed_from_search: bool = False) -> packing.ContextPack:
         """A budgeted map of what a task needs, with complete sources if asked for."""
         if query is not None and len(query) > 2000:
@@ -269,7 +279,7 @@ class Engine:
         return {"cases": [r.asDict() for r in df.collect()], "totals": history.savings(df).first().asDict()}
 
 
-_BY = ("files", "modules", "symbols", "edges", "metrics", "tests", "coverage")
+_BY = ("files", "modules", "symbols", "edges", "metrics", "tests", "coverage", "vectors")
 
 
 class Federation:

@@ -19,7 +19,7 @@ FINDING_STATUS = ("candidate", "confirmed", "rejected")
 VERSION = 1
 
 
-_TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+_TYPES = {"string": T.StringType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "doubles": T.ArrayType(T.DoubleType())}
 
 
 def _table(text: str) -> T.StructType:
@@ -52,6 +52,7 @@ TABLES: dict[str, T.StructType] = {
         "id string, snapshot_id string, subject_id string, level string, content_json string, model string, prompt_version string, "
         "content_hash string, created_at timestamp"
     ),
+    "vectors": _table("id string, snapshot_id string, point_id string, text_hash string, model string, vector doubles"),
     "opportunities": _table("id string, snapshot_id string, title string, detail_json string, created_at timestamp"),
     "analysis_runs": _table(
         "id string, snapshot_id string, kind string, model string, cache_key string, status string, started_at timestamp, finished_at timestamp, "

@@ -146,3 +146,21 @@ def test_small_tables(spark, tmp_path):
     assert [r["value"] for r in s.upsert_metrics(m.coalesce(1)).collect()] == [2.0]
     with pytest.raises(LookupError):
         Engine(s).overview()
+
+
+def test_command_line(spark, scanned, capsys):
+    from tessera import cli
+
+    root, store, done = scanned
+
+    def call(*args):
+        return cli.run(cli.parser().parse_args([args[0], "--store", store.root, *args[1:]]), spark)
+
+    assert call("reindex")["embedded"] > 0 and call("reindex") == {"embedded": 0}
+    hit = call("query", "service place", "--limit", "3")
+    assert hit[0]["qualified_name"] == "Service.place" and "vector" in hit[0]["sources"]
+    assert "save" in call("context", "--symbol", "save", "--max-tokens", "300")
+    assert call("symbol", "save")["kind"] == "function" and call("evidence", "src/service.ts")[0]["from_line"] == 1
+    assert cli.doctor()["healthy"] and "Ready." in cli.doctor_text(cli.doctor())
+    bad = cli.doctor_text({"required": {"git": False}, "optional": {}, "missing_required": ["git"], "healthy": False})
+    assert "Not ready: git" in bad
