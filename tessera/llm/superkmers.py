@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, blocked, mixed, ranges, sliding_min, text_chunks, word_bounds
+from .common import Roller, blocked, mixed, ranges, slices, sliding_min, text_chunks, word_bounds
 
 _NONE = np.iinfo(np.int64).max
 _BYTES, _CODES, _SECOND = Roller(11), Roller(12), Roller(13)
@@ -72,7 +72,7 @@ class Block:
         self.parts: list[Part] = []
         first, count, k1, k2, low, doc = [], [], [], [], [], []
         words = 0
-        for row, stop, data, to in text_chunks(table):
+        for row, stop, data, to in text_chunks(table, 1 << 20):
             s, e = word_bounds(data)
             self.parts.append(Part(row, stop, data, to, s, e, words))
             of = np.searchsorted(to, s, "right") - 1 + row
@@ -138,7 +138,7 @@ def joined(data: np.ndarray, s: np.ndarray, e: np.ndarray, keep: np.ndarray | No
 def _zip(*arrays) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays))
 
 
 def _unzip(raw: bytes, *types) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def repeated_words(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
         for a, z in zip(edge.tolist(), stop.tolist(), strict=True):
             w = order[a:z]
             payload.append(
-                _zip(w.astype(np.uint32), b.windows[w].astype(np.uint8), b.low_doc[w], b.high_doc[w], np.frombuffer(b"\n".join(strings[a:z]) + b"\n", np.uint8))
+                _zip(w.astype(np.uint32), b.windows[w].astype(np.uint8), b.low_doc[w], b.high_doc[w] - b.low_doc[w], np.frombuffer(b"\n".join(strings[a:z]) + b"\n", np.uint8))
             )
         return pa.table({"bucket": pa.array(bucket[order][edge], pa.int64()), "block": pa.array([block] * len(edge), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
@@ -211,14 +211,18 @@ def repeated_words(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
         blocks = table.column("block").to_numpy()
         got = [_unzip(x.as_py(), np.uint32, np.uint8, np.int64, np.int64, np.uint8) for x in table.column("payload")]
         string, n, low, high, text = (np.concatenate([g[i] for g in got]) for i in range(5))
-        n = n.astype(np.int64)
+        n, high = n.astype(np.int64), low + high
         source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        s, e = word_bounds(text)
-        code = word_codes(text, s, e)
-        at = np.cumsum(n + k - 1) - (n + k - 1)
-        w = ranges(at, n)  # first word of each window
+        end = np.flatnonzero(text == 10) + 1  # one line a string
         owner = np.repeat(np.arange(len(n)), n)
-        keys = [r.hash(r.prefix(code), w, w + k) for r in (_CODES, _SECOND)]
+        parts = []
+        for a, z in slices(np.diff(end, prepend=0), 1 << 20):  # bounds what hashing needs beside the keys
+            part = text[end[a - 1] if a else 0 : end[z - 1]]
+            code = word_codes(part, *word_bounds(part))
+            words = n[a:z] + k - 1
+            w = ranges(np.cumsum(words) - words, n[a:z])  # first word of each window
+            parts.append([r.hash(r.prefix(code), w, w + k) for r in (_CODES, _SECOND)])
+        keys = [np.concatenate(x) for x in zip(*parts, strict=True)]
         place, group = tied(keys)
         least = low[owner]
         if len(place):
