@@ -180,10 +180,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: tables of fixed size for each language
     more = ", spans array<struct<first:int,words:int,lang:string>>" if spans else ""
-    src = docs.select(F.struct(*extra).alias("row"), F.coalesce(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)), F.lit("")).alias("text"))
+    src = docs.select(F.struct(*extra).alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has"))
 
     def predict(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         m = shared.value
         for batch in batches:
@@ -191,9 +192,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 continue
             n = batch.num_rows
             pred, score, found = np.full(n, -1), np.zeros(n), [None] * n
-            table = pa.table({"text": batch.column(1)})
+            table = pa.table({"text": pc.if_else(batch.column(1), pc.struct_field(batch.column(0), text_col), "")})
             if langs:
-                for a, b, data, to in text_chunks(table):
+                for a, b, data, to in text_chunks(table, 1 << 19):
                     w = words_of(data, to)
                     s = m.scores(w)
                     own = label(m, s, w.text)
