@@ -24,11 +24,14 @@ _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
 _SPLIT = "[^\\p{L}\\p{N}\x01-\x03]+"
 
 
+def _joined(text: Column) -> Column:
+    """Joins the digit groups of a number."""
+    return F.regexp_replace(F.translate(text, _NAME + _NUMBER + _UNIT, "   "), r"(\p{N})[.,](\p{N})", "$1$2")
+
+
 def _marked(text: Column) -> Column:
-    """Joins the digit groups of a number and puts a mark before each capital that
-    starts a word inside a sentence."""
-    one = F.regexp_replace(F.translate(text, _NAME + _NUMBER + _UNIT, "   "), r"(\p{N})[.,](\p{N})", "$1$2")
-    return F.regexp_replace(one, r"([^.!?:\s]\s)(\p{Lu})", f"$1{_NAME}$2")
+    """``_joined`` with a mark before each capital that starts a word inside a sentence."""
+    return F.regexp_replace(_joined(text), r"([^.!?:\s]\s)(\p{Lu})", f"$1{_NAME}$2")
 
 
 def _tokens(text: Column) -> Column:
@@ -36,6 +39,11 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(_marked(text)), _SPLIT), lambda t: t != "")
 
 
+def _plain(text: Column) -> Column:
+    """The raw tokens without marks, the same for a copy in any case."""
+    return F.filter(F.split(F.lower(_joined(text)), _SPLIT), lambda t: t != "")
+
+
 def _template(text: Column) -> Column:
     """The same tokens with their placeholders."""
     t = F.lower(F.regexp_replace(_marked(text), f"{_NAME}[\\p{{L}}\\p{{N}}]+", _NAME))
@@ -46,7 +54,12 @@ def _template(text: Column) -> Column:
 
 def _windows(hashes: Column, w: int) -> Column:
     places = F.sequence(F.lit(0), F.size(hashes) - w)
-    return F.when(F.size(hashes) >= w, F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, w))))
+    some = F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, w)))
+    return F.when(F.size(hashes) >= w, some).otherwise(F.array().cast("array<long>"))
+
+
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def leaks(
@@ -66,6 +79,9 @@ def leaks(
     alignment), item_windows, n_slots (placeholders compared), reparameterised (a slot
     has another value than in the item).
 
+    * Windows of the template find copies with other values, windows of the plain
+      lower-cased tokens find verbatim copies in any case.  The figures of a pair are
+      those of the template alone where it has a match, else of both.
     * A window has ``window`` tokens; an item with fewer is one window.  Items with
       fewer than ``min_literals`` words that are no placeholder in any window can't be
       told from chance and are never reported.
@@ -77,36 +93,43 @@ def leaks(
       of under 100 bytes); beyond that both sides are shuffled by window.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("it")).where("item_id is not null and it is not null").distinct()
-    items = items.select("item_id", _template(F.col("it")).alias("tt"), _tokens(F.col("it")).alias("rt")).where(F.size("tt") > 0)
-    items = items.select("*", F.least(F.size("tt"), F.lit(window)).alias("w"), F.transform("tt", lambda t: F.xxhash64(t)).alias("hs"))
+    items = items.select("item_id", _template(F.col("it")).alias("tt"), _tokens(F.col("it")).alias("rt"), _plain(F.col("it")).alias("pt")).where(F.size("tt") > 0)
+    items = items.select("*", F.least(F.size("tt"), F.lit(window)).alias("w"), _hashes(F.col("tt")).alias("hs"), _hashes(F.col("pt")).alias("ph"))
     sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # 1 to window at most
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("dt")).where("doc_id is not null and dt is not null")
-    hashed = d.select("doc_id", F.transform(_template(F.col("dt")), lambda t: F.xxhash64(t)).alias("hs"))
+    hashed = d.select("doc_id", _hashes(_template(F.col("dt"))).alias("hs"), _hashes(_plain(F.col("dt"))).alias("ph"))
     literal = F.size(F.filter(F.slice("tt", F.col("q") + 1, F.col("w")), lambda t: ~t.isin(_NAME, _NUMBER, _UNIT)))
     iw = None
     for w in sizes:
-        x = items.where(F.col("w") == w).select("*", F.posexplode(_windows(F.col("hs"), w)).alias("q", "h"))
-        x = x.where(literal >= min_literals).select("item_id", "w", "q", "h")
-        iw = x if iw is None else iw.union(x)
+        for side, plain in (("hs", False), ("ph", True)):
+            x = items.where(F.col("w") == w).select("*", F.posexplode(_windows(F.col(side), w)).alias("q", "h"))
+            x = x.where(literal >= min_literals).select("item_id", "w", "q", "h", F.lit(plain).alias("plain"))
+            iw = x if iw is None else iw.union(x)
     if iw is None:
-        iw = items.select("item_id", "w", F.lit(0).alias("q"), F.lit(0).cast("long").alias("h")).limit(0)
+        iw = items.select("item_id", "w", F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("plain")).limit(0)
     small = iw.count() <= broadcast_rows
-    keyed = iw.select("item_id", F.col("w").alias("iw"), "q", "h")
+    keyed = iw.select("item_id", F.col("w").alias("iw"), "q", "h", "plain")
     found = None
     for w in sizes or [window]:
-        x = hashed.select("doc_id", F.posexplode(_windows(F.col("hs"), w)).alias("p", "dh"))
+        x = hashed.select("doc_id", _windows(F.col("hs"), w).alias("tw"), _windows(F.col("ph"), w).alias("pw"))
+        x = x.select("doc_id", F.size("tw").alias("n"), F.posexplode(F.concat("tw", "pw")).alias("at", "dh"))
+        x = x.withColumn("p", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")))
         side = keyed.where(F.col("iw") == w)
         x = x.join(F.broadcast(side) if small else side, F.col("dh") == F.col("h"))
-        x = x.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "p", "q", F.lit(w).alias("w"))
+        x = x.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q", (F.col("plain") | (F.col("at") >= F.col("n"))).alias("plain"), F.lit(w).alias("w"))
         found = x if found is None else found.union(x)
-    aligned = stored(found.groupBy("doc_id", "item_id", "shift", "w").agg(F.collect_set("q").alias("qs")), "aligned")
+    ts, ps = F.collect_set(F.when(~F.col("plain"), F.col("q"))), F.collect_set(F.when(F.col("plain"), F.col("q")))
+    aligned = stored(found.groupBy("doc_id", "item_id", "shift", "w").agg(ts.alias("ts"), ps.alias("ps")), "aligned")
     # the slots of what has matched, from the raw tokens of those documents and items alone
     hit = aligned.select("doc_id").distinct()
     hit = F.broadcast(hit) if aligned.count() <= broadcast_rows else hit
-    texts = d.join(hit, "doc_id", "left_semi").distinct().select("doc_id", _tokens(F.col("dt")).alias("dr"))
+    texts = d.join(hit, "doc_id", "left_semi").distinct().select("doc_id", _plain(F.col("dt")).alias("dr"))
     pairs = (
         aligned.join(items.select("item_id", "tt", "rt", F.size("tt").alias("n")), "item_id")
         .join(texts, "doc_id")
+        .withColumn("by", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("ts").alias("qs")), F.struct(F.lit(0).alias("rank"), F.array_union("ts", "ps").alias("qs")))))
+        .withColumn("qs", F.col("by.qs"))
+        .where(F.size("qs") > 0)
         .withColumn("at", F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + F.col("w") - 1)))))
         .withColumn("slots", F.filter("at", lambda i: F.get(F.col("tt"), i).isin(_NAME, _NUMBER, _UNIT)))
         .withColumn(
@@ -119,13 +142,14 @@ def leaks(
     )
     best = F.max(
         F.struct(
+            F.col("by.rank").alias("rank"),
             F.size("qs").cast("long").alias("n_windows"),
             (F.col("n") - F.col("w") + 1).cast("long").alias("item_windows"),
             F.size("slots").cast("long").alias("n_slots"),
-            F.exists("map", lambda m: ~m["i"].eqNullSafe(m["d"])).alias("reparameterised"),
+            F.exists("map", lambda m: ~F.translate(m["i"], _NAME, "").eqNullSafe(m["d"])).alias("reparameterised"),
         )
     )
-    return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select(F.col("doc_id").alias(id_col), "item_id", "b.*")
+    return pairs.groupBy("doc_id", "item_id").agg(best.alias("b")).select(F.col("doc_id").alias(id_col), "item_id", "b.*").drop("rank")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **how) -> DataFrame:

@@ -97,6 +97,15 @@ def test_leaks(spark, clashing):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_any_case(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    fill = "Nothing here is of any interest to the benchmark."
+    cases = [(1, f"{fill} {ITEM.upper()} {fill}"), (2, f"{fill} {ITEM.lower()} {fill}"), (3, f"{fill} {ITEM.title()}"), (4, fill.upper())]
+    got = {r["doc_id"]: r for r in decontaminate.leaks(spark.createDataFrame(cases, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3}
+    assert all(r["n_windows"] == r["item_windows"] == len(ITEM.split()) - 12 and not r["reparameterised"] for r in got.values())
+
+
 def test_urls(spark, clashing):
     day = "2024-0%d-01"
     events = [("Example.com", "block", day % 1), ("example.com", "lift", day % 3), ("a.example.com", "allow", day % 2), ("b.org/x", "block", day % 1), ("b.org", "allow", day % 1), ("b.org", "block", day % 1), (None, "block", day % 1)]
