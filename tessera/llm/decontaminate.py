@@ -82,9 +82,9 @@ def leaks(
     * Windows of the template find copies with other values, windows of the plain
       lower-cased tokens find verbatim copies in any case.  The figures of a pair are
       those of the template alone where it has a match, else of both.
-    * A window has ``window`` tokens; an item with fewer is one window.  Items with
-      fewer than ``min_literals`` words that are no placeholder in any window can't be
-      told from chance and are never reported.
+    * A window has ``window`` tokens; an item with fewer is one window.  A window
+      with fewer than ``min_literals`` words that are no placeholder can't be told from
+      chance by its template: only its verbatim copies count.
     * An alignment counts only if each slot value of the item stands for one value in
       the document throughout.
     * Null or empty texts and null ids leak nothing.  Rows with one id are one document;
@@ -103,7 +103,7 @@ def leaks(
     for w in sizes:
         for side, plain in (("hs", False), ("ph", True)):
             x = items.where(F.col("w") == w).select("*", F.posexplode(_windows(F.col(side), w)).alias("q", "h"))
-            x = x.where(literal >= min_literals).select("item_id", "w", "q", "h", F.lit(plain).alias("plain"))
+            x = x.where(F.lit(plain) | (literal >= min_literals)).select("item_id", "w", "q", "h", F.lit(plain).alias("plain"))
             iw = x if iw is None else iw.union(x)
     if iw is None:
         iw = items.select("item_id", "w", F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("plain")).limit(0)

@@ -106,6 +106,20 @@ def test_leaks_in_any_case(spark):
     assert all(r["n_windows"] == r["item_windows"] == len(ITEM.split()) - 12 and not r["reparameterised"] for r in got.values())
 
 
+def test_leaks_of_few_literals(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "What is 12 times 15?"), (3, "12 kg 15 cm 3.5 km Alice Bob 7 8 9 10 11 12 hours 14")], "item_id long, text string")
+    fill = "Nothing here is of any interest."
+    cases = [
+        (1, f"{fill} Who wrote Hamlet? {fill}"), (2, f"{fill} What is 12 times 15? {fill}"), (3, f"{fill} 12 kg 15 cm 3.5 km Alice Bob 7 8 9 10 11 12 hours 14. {fill}"),
+        (4, f"{fill} Who wrote Macbeth? {fill}"), (5, f"{fill} What is 13 times 15? {fill}"), (6, f"{fill} 13 kg 15 cm 3.5 km Alice Bob 7 8 9 10 11 12 hours 14. {fill}"),
+    ]
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(1, 1), (2, 2), (3, 3)} <= set(got) <= {(1, 1), (2, 2), (3, 3), (6, 3)}
+    assert not any(r["reparameterised"] for r in got.values())
+    assert (6, 3) not in got or got[6, 3]["n_windows"] < got[3, 3]["n_windows"]
+
+
 def test_urls(spark, clashing):
     day = "2024-0%d-01"
     events = [("Example.com", "block", day % 1), ("example.com", "lift", day % 3), ("a.example.com", "allow", day % 2), ("b.org/x", "block", day % 1), ("b.org", "allow", day % 1), ("b.org", "block", day % 1), (None, "block", day % 1)]
