@@ -31,7 +31,7 @@ def _joined(text: Column) -> Column:
 
 def _marked(text: Column) -> Column:
     """``_joined`` with a mark before each capital that starts a word inside a sentence."""
-    return F.regexp_replace(_joined(text), r"([^.!?:\s]\s)(\p{Lu})", f"$1{_NAME}$2")
+    return F.regexp_replace(_joined(text), r"([^.!?:\s]\s+)(\p{Lu})", f"$1{_NAME}$2")
 
 
 def _tokens(text: Column) -> Column:
@@ -58,6 +58,11 @@ def _windows(hashes: Column, w: int) -> Column:
     return F.when(F.size(hashes) >= w, some).otherwise(F.array().cast("array<long>"))
 
 
+def _opened(tokens: Column) -> Column:
+    """The template of an item whose first word is marked, as it is inside a sentence."""
+    return F.concat(F.array(F.lit(_NAME)), F.slice(tokens, F.lit(2), F.size(tokens)))
+
+
 def _hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
@@ -85,6 +90,8 @@ def leaks(
     * A window has ``window`` tokens; an item with fewer is one window.  A window
       with fewer than ``min_literals`` words that are no placeholder can't be told from
       chance by its template: only its verbatim copies count.
+    * A capital first word of an item is indexed with and without its mark, because what
+      stands before it in a document decides if it has one.
     * An alignment counts only if each slot value of the item stands for one value in
       the document throughout.
     * Null or empty texts and null ids leak nothing.  Rows with one id are one document;
@@ -93,22 +100,27 @@ def leaks(
       of under 100 bytes); beyond that both sides are shuffled by window.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("it")).where("item_id is not null and it is not null").distinct()
-    items = items.select("item_id", _template(F.col("it")).alias("tt"), _tokens(F.col("it")).alias("rt"), _plain(F.col("it")).alias("pt")).where(F.size("tt") > 0)
-    items = items.select("*", F.least(F.size("tt"), F.lit(window)).alias("w"), _hashes(F.col("tt")).alias("hs"), _hashes(F.col("pt")).alias("ph"))
+    items = items.select("item_id", _template(F.col("it")).alias("tt"), _tokens(F.col("it")).alias("rt"), _plain(F.col("it")).alias("pt"), F.col("it").rlike(r"^[^\p{L}\p{N}]*\p{Lu}").alias("capital")).where(F.size("tt") > 0)
+    items = items.select("*", F.least(F.size("tt"), F.lit(window)).alias("w"), _hashes(F.col("tt")).alias("hs"), _hashes(F.col("pt")).alias("ph"), _hashes(_opened(F.col("tt"))).alias("os"))
     sizes = sorted(r[0] for r in items.select("w").distinct().collect())  # 1 to window at most
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("dt")).where("doc_id is not null and dt is not null")
     hashed = d.select("doc_id", _hashes(_template(F.col("dt"))).alias("hs"), _hashes(_plain(F.col("dt"))).alias("ph"))
-    literal = F.size(F.filter(F.slice("tt", F.col("q") + 1, F.col("w")), lambda t: ~t.isin(_NAME, _NUMBER, _UNIT)))
+
+    def literals(tokens: Column) -> Column:
+        return F.size(F.filter(F.slice(tokens, F.col("q") + 1, F.col("w")), lambda t: ~t.isin(_NAME, _NUMBER, _UNIT)))
+
+    # kinds: 0 the template, 1 its first window with the first word marked, 2 plain tokens
+    sides = [("hs", literals(F.col("tt")) >= min_literals), ("os", F.col("capital") & (F.col("q") == 0) & (literals(_opened(F.col("tt"))) >= min_literals)), ("ph", F.lit(True))]
     iw = None
     for w in sizes:
-        for side, plain in (("hs", False), ("ph", True)):
+        for kind, (side, use) in enumerate(sides):
             x = items.where(F.col("w") == w).select("*", F.posexplode(_windows(F.col(side), w)).alias("q", "h"))
-            x = x.where(F.lit(plain) | (literal >= min_literals)).select("item_id", "w", "q", "h", F.lit(plain).alias("plain"))
+            x = x.where(use).select("item_id", "w", "q", "h", F.lit(kind).alias("kind"))
             iw = x if iw is None else iw.union(x)
     if iw is None:
-        iw = items.select("item_id", "w", F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("plain")).limit(0)
+        iw = items.select("item_id", "w", F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("kind")).limit(0)
     small = iw.count() <= broadcast_rows
-    keyed = iw.select("item_id", F.col("w").alias("iw"), "q", "h", "plain")
+    keyed = iw.select("item_id", F.col("w").alias("iw"), "q", "h", "kind")
     found = None
     for w in sizes or [window]:
         x = hashed.select("doc_id", _windows(F.col("hs"), w).alias("tw"), _windows(F.col("ph"), w).alias("pw"))
@@ -116,26 +128,30 @@ def leaks(
         x = x.withColumn("p", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")))
         side = keyed.where(F.col("iw") == w)
         x = x.join(F.broadcast(side) if small else side, F.col("dh") == F.col("h"))
-        x = x.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q", (F.col("plain") | (F.col("at") >= F.col("n"))).alias("plain"), F.lit(w).alias("w"))
+        x = x.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q", F.when(F.col("at") >= F.col("n"), 2).otherwise(F.col("kind")).alias("kind"), F.lit(w).alias("w"))
         found = x if found is None else found.union(x)
-    ts, ps = F.collect_set(F.when(~F.col("plain"), F.col("q"))), F.collect_set(F.when(F.col("plain"), F.col("q")))
-    aligned = stored(found.groupBy("doc_id", "item_id", "shift", "w").agg(ts.alias("ts"), ps.alias("ps")), "aligned")
+    sets = [F.collect_set(F.when(F.col("kind") == k, F.col("q"))).alias(name) for k, name in enumerate(("ts", "fs", "ps"))]
+    aligned = stored(found.groupBy("doc_id", "item_id", "shift", "w").agg(*sets), "aligned")
     # the slots of what has matched, from the raw tokens of those documents and items alone
     hit = aligned.select("doc_id").distinct()
     hit = F.broadcast(hit) if aligned.count() <= broadcast_rows else hit
     texts = d.join(hit, "doc_id", "left_semi").distinct().select("doc_id", _plain(F.col("dt")).alias("dr"))
+    template = F.struct(F.lit(1).alias("rank"), F.lit(False).alias("opened"), F.col("ts").alias("qs"))
+    every = F.struct(F.lit(0).alias("rank"), (F.size("fs") > 0).alias("opened"), F.array_union(F.array_union("ts", "fs"), F.col("ps")).alias("qs"))
+    value = lambda i: F.when(F.col("opened") & (i == 0), F.concat(F.lit(_NAME), F.get(F.col("rt"), i))).otherwise(F.get(F.col("rt"), i))
     pairs = (
         aligned.join(items.select("item_id", "tt", "rt", F.size("tt").alias("n")), "item_id")
         .join(texts, "doc_id")
-        .withColumn("by", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("ts").alias("qs")), F.struct(F.lit(0).alias("rank"), F.array_union("ts", "ps").alias("qs")))))
+        .withColumn("by", F.explode(F.array(template, every)))
         .withColumn("qs", F.col("by.qs"))
+        .withColumn("opened", F.col("by.opened"))
         .where(F.size("qs") > 0)
         .withColumn("at", F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + F.col("w") - 1)))))
-        .withColumn("slots", F.filter("at", lambda i: F.get(F.col("tt"), i).isin(_NAME, _NUMBER, _UNIT)))
+        .withColumn("slots", F.filter("at", lambda i: F.get(F.col("tt"), i).isin(_NAME, _NUMBER, _UNIT) | (F.col("opened") & (i == 0))))
         .withColumn(
             "map",
             F.array_distinct(
-                F.transform("slots", lambda i: F.struct(F.get(F.col("rt"), i).alias("i"), F.get(F.col("dr"), i + F.col("shift")).alias("d")))
+                F.transform("slots", lambda i: F.struct(value(i).alias("i"), F.get(F.col("dr"), i + F.col("shift")).alias("d")))
             ),
         )
         .where(F.size("map") == F.size(F.array_distinct(F.transform("map", lambda m: m["i"]))))

@@ -120,6 +120,15 @@ def test_leaks_of_few_literals(spark):
     assert (6, 3) not in got or got[6, 3]["n_windows"] < got[3, 3]["n_windows"]
 
 
+def test_leaks_behind_any_text(spark):
+    item = "What is the cost of 12 plain red bricks from Alice?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("12", "30").replace("Alice", "Bob")
+    cases = [(1, f"1) {item}"), (2, f"A heading\n{item}"), (3, f"A heading, {other}"), (4, other.replace("from ", "from  ")), (5, f"A heading\n\n{other}"), (6, item.replace("bricks", "tiles"))]
+    got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.leaks(spark.createDataFrame(cases, "doc_id long, text string"), bench).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: True}
+
+
 def test_urls(spark, clashing):
     day = "2024-0%d-01"
     events = [("Example.com", "block", day % 1), ("example.com", "lift", day % 3), ("a.example.com", "allow", day % 2), ("b.org/x", "block", day % 1), ("b.org", "allow", day % 1), ("b.org", "block", day % 1), (None, "block", day % 1)]
