@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ranges, text_chunks
 
@@ -149,22 +150,37 @@ def label(model: Model, s: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int | None = 5, per_lang: int = 600, most_bytes: int = 8 << 20) -> Model:
-    """Train on a bounded sample of labelled rows: about ``per_lang`` of each language,
-    by hash, and ``most_bytes`` of text of each at most.  Rows with
-    crc32(id) mod ``held_out`` = 0 are never used."""
+    """Train on a bounded sample of labelled rows: the ``per_lang`` of least hash of each
+    language, and ``most_bytes`` characters of text of each at most.  A text gives its
+    first sixteenth of that bound at most, so none shuts out the others of its language.
+    Rows with crc32(id) mod ``held_out`` = 0 are never used."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out:
         rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % held_out != 0)
-    seen = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000))
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 1))
+    # the leading bit of a draw and the four bits behind it: about 1,000 classes at any number of rows
+    rows = rows.withColumn("class", F.floor(F.log2(F.col("draw") + F.lit(1.0)) * 16).cast("int"))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 1,009 rows a language
+        counts.setdefault(r["lang"], []).append((r["class"], r["n"]))
     want = F.lit(False)
-    for lang, n in seen.items():
-        want = want | ((F.col("lang") == lang) & (draw < int(min(1.0, per_lang / n) * 1_000_000)))
+    for lang, classes in counts.items():
+        upto, last = 0, 0
+        for last, n in sorted(classes):
+            upto += n
+            if upto >= per_lang:
+                break
+        want = want | ((F.col("lang") == lang) & (F.col("class") <= last))
+    least = Window.partitionBy("lang").orderBy("draw", "id", "text")
+    share = max(1, most_bytes // 16)
+    drawn = rows.where(want).select("id", "lang", "draw", F.substring("text", 1, share).alias("text"))
+    drawn = drawn.withColumn("place", F.row_number().over(least)).where(F.col("place") <= per_lang)
     got, used = [], {}
-    for r in rows.where(want).select("text", "lang").toLocalIterator():
-        used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
-        if used[r["lang"]] <= most_bytes:
-            got.append((r["text"], r["lang"]))
+    for r in drawn.select("text", "lang", "place").sortWithinPartitions("lang", "place").toLocalIterator():
+        text = r["text"][: most_bytes - used.get(r["lang"], 0)]
+        if text:
+            used[r["lang"]] = used.get(r["lang"], 0) + len(text)
+            got.append((text, r["lang"]))
     return train(got)
 
 

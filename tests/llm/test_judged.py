@@ -38,6 +38,24 @@ def test_language(spark, clashing):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_training_sample_is_never_empty(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, text(rng, "en", 20), "en") for i in range(3000)] + [(i, text(rng, "fr", 20), "fr") for i in range(3000, 3005)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "train", lambda got: got)
+    hashed = dict(docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 1)).collect())
+    first = sorted((x for x in rows if x[2] == "en"), key=lambda x: hashed[x[0]])[:10]
+    got = langid.fit(docs, held_out=None, per_lang=10)
+    assert [x for x in got if x[1] == "en"] == [(x[1], "en") for x in first] and sum(x[1] == "fr" for x in got) == 5
+    # one id throughout, whose only draw falls to none or to all
+    same = langid.fit(docs.withColumn("doc_id", F.lit(1)), held_out=None, per_lang=10)
+    assert sum(x[1] == "en" for x in same) == 10 and sum(x[1] == "fr" for x in same) == 5
+    # a text over the bound comes first and leaves room for the others
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first[0][0], F.repeat(F.lit("word "), 5000)).otherwise(F.col("text")))
+    some = [x for x in langid.fit(long, held_out=None, per_lang=10, most_bytes=16_000) if x[1] == "en"]
+    assert len(some) == 10 and max(len(x[0]) for x in some) == 1000
+
+
 def test_spans_of_mixed_text(spark):
     rng = random.Random(2)
     model = langid.fit(labelled(spark, rng))
