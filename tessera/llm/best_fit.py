@@ -27,16 +27,19 @@ _LIMIT = 0x2070  # code points above it take the library's own splitter
 class Encoder:
     """Byte-level BPE from a ``tokenizers`` file: vectorised pre-tokens, each distinct
     one encoded once.  Texts with apostrophes (contractions) or rare code points are
-    left to the library.  Strings of special tokens in a text are ordinary text."""
+    left to the library, and texts with an added token to ``tokenizers``, which gives it
+    its id."""
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str, keep: int = 400_000):
         import tiktoken
         import unicodedata
+        from tokenizers import Tokenizer
 
         model = json.load(open(path, encoding="utf-8"))
         special = {x["content"] for x in model["added_tokens"]}
+        self.added, self.whole = sorted(special), Tokenizer.from_file(path)
         # the public byte alphabet of byte-level BPE: printable bytes stand for themselves
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -70,12 +73,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32) and the number for each text."""
-        plain = [i for i, t in enumerate(texts) if "'" not in t and (t.isascii() or max(t) < chr(_LIMIT))]
+        added = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        plain = [i for i, t in enumerate(texts) if i not in added and "'" not in t and (t.isascii() or max(t) < chr(_LIMIT))]
         ids, counts = self._plain([texts[i] for i in plain])
         if len(plain) == len(texts):
             return ids, counts
         parts = dict(zip(plain, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if plain else {}
-        out = [parts[i] if i in parts else np.array(self.bpe.encode_ordinary(t), np.uint32) for i, t in enumerate(texts)]
+
+        def rest(i: int, t: str) -> list[int]:
+            return self.whole.encode(t, add_special_tokens=False).ids if i in added else self.bpe.encode_ordinary(t)
+
+        out = [parts[i] if i in parts else np.array(rest(i, t), np.uint32) for i, t in enumerate(texts)]
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -105,6 +105,19 @@ def test_tokens_are_those_of_the_library(docs_of):
     assert [back[i] for i in range(len(texts))] == [x + [2] for x in want]
 
 
+def test_added_tokens_have_their_id(docs_of):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(best_fit.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's<|endoftext|><|endoftext|>\n日本", "plain", "<|endoftext", "é <|endoftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    ids, counts = best_fit.Encoder(best_fit.default_tokenizer()).encode(texts)
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+    got = best_fit.token_pieces(docs_of(texts), best_fit.default_tokenizer(), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*x, 2] for i, x in enumerate(want)}
+
+
 def test_plan_uses_exact_complements():
     p = best_fit.plan({600: 3, 424: 2, 300: 1, 124: 1, 1024: 2, 1: 1})
     assert Counter({k: n for k, n in p}) == Counter({(1024,): 2, (600, 424): 2, (600, 300, 124): 1, (1,): 1})
