@@ -14,10 +14,13 @@ from pyspark.sql.window import Window
 from .common import stored
 
 
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(host), r"\.+$", ""), r"^www\.", "")
+
+
 def url_host(url: Column) -> Column:
     """Lower-cased host without user, port, a closing dot and a leading ``www.``."""
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
+    return _bare(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def url_path(url: Column) -> Column:
@@ -41,11 +44,18 @@ def url_keys(url: Column, depth: int) -> Column:
     )
 
 
+def list_key(key: Column) -> Column:
+    """The key of a list entry by the rules of ``url_keys``: the host lower-cased and
+    without ``www.``, the segments of the path as they are."""
+    parts = F.split(key, "/")
+    return F.concat_ws("/", _bare(F.element_at(parts, 1)), F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x != ""))
+
+
 def validity(events: DataFrame) -> DataFrame:
     """``(key, action, listed_at)`` events to ``(key, action, from, to)``: each holds until the
     next event of its key.  Of events at one moment the last in the order of action counts.
     Events with a null field are no events; ``lift`` ends what was in force."""
-    e = events.select(F.lower("key").alias("key"), "action", "listed_at").where("key is not null and action is not null and listed_at is not null")
+    e = events.select(list_key(F.col("key")).alias("key"), "action", "listed_at").where("key is not null and action is not null and listed_at is not null")
     e = e.groupBy("key", "listed_at").agg(F.max("action").alias("action"))
     w = Window.partitionBy("key").orderBy("listed_at")
     return (

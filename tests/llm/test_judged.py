@@ -164,6 +164,17 @@ def test_urls(spark, clashing):
     assert {r["verdict"] for r in url_filter.url_filter(df, ev.limit(0)).collect()} == {"unlisted"}
 
 
+def test_list_keys_follow_the_rules_of_urls(spark):
+    events = [("Host.org/News/", "block", 1), ("WWW.Example.com", "block", 1), ("www.b.org./x", "allow", 1), ("host.org/sport", "block", 1)]
+    caps = [
+        (1, "http://www.host.org/News/1", "blocked", "host.org/News"), (2, "http://host.org/news/1", "unlisted", None), (3, "http://a.example.com/", "blocked", "example.com"),
+        (4, "http://b.org/x/y", "allowed", "b.org/x"), (5, "http://HOST.org/sport", "blocked", "host.org/sport"),
+    ]
+    df = spark.createDataFrame([(*c[:2], 2) for c in caps], "page_id long, url string, fetched_at int")
+    got = url_filter.url_filter(df, spark.createDataFrame(events, "key string, action string, listed_at int")).collect()
+    assert {(r["page_id"], r["verdict"], r["entry"]) for r in got} == {(c[0], c[2], c[3]) for c in caps}
+
+
 def test_pipeline_stages_keep_what_is_clean(spark, tmp_path):
     import corpus_pipeline
 
