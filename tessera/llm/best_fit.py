@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, numbered, ranges, stored
+from .common import numbered, ranges, span_codes, stored
 
 # --- tokenising ------------------------------------------------------------------
 
@@ -26,9 +26,9 @@ _LIMIT = 0x2070  # code points above it take the library's own splitter
 
 class Encoder:
     """Byte-level BPE from a ``tokenizers`` file: vectorised pre-tokens, each distinct
-    one encoded once.  Texts with apostrophes (contractions) or rare code points are
-    left to the library, and texts with an added token to ``tokenizers``, which gives it
-    its id."""
+    one encoded once and known by its string.  Texts with apostrophes (contractions) or
+    rare code points are left to the library, and texts with an added token to
+    ``tokenizers``, which gives it its id."""
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,21 +50,20 @@ class Encoder:
         for c in range(_LIMIT):
             cat = unicodedata.category(chr(c))
             kinds[c] = 0 if chr(c).isspace() and c not in range(0x1C, 0x20) else 1 if cat[0] == "L" else 2 if cat[0] == "N" else 3
-        self.kinds, self.roller, self.keep = kinds, Roller(41), keep
-        self.codes = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, _LIMIT, dtype=np.uint64)
+        self.kinds, self.keep = kinds, keep
         self._clear()
 
     def _clear(self):
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint16), 0
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.at = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, keys: list[int], strings: list[str]):
-        for key, string in zip(keys, strings, strict=True):
+    def _learn(self, strings: list[str]):
+        for string in strings:
             ids, n = self.bpe.encode_ordinary(string), len(self.known)
-            self.known[key] = n
+            self.known[string] = n
             if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint16)])
+                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
             if n + 2 > len(self.at):
                 self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
             self.flat[self.used : self.used + len(ids)] = ids
@@ -105,17 +104,17 @@ class Encoder:
         start[1:][last & (cp[:-1] == 32)] = False  # a blank goes with what follows
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(cp))
-        key = self.roller.hash(self.roller.prefix(self.codes[cp]), s, e)
-        uniq, place, inv = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.keep:
+        one, two = span_codes(cp.astype("<u2").view(np.uint8), 2 * s, 2 * e)  # all are below _LIMIT
+        _, place, inv = np.unique(one, return_index=True, return_inverse=True)
+        if (two[place][inv] != two).any():  # one hash for two strings: both tell them apart
+            _, place, inv = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+        strings = [whole[a:b] for a, b in zip(s[place].tolist(), e[place].tolist(), strict=True)]
+        if len(self.known) + len(strings) > self.keep:
             self._clear()
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self._learn([keys[i] for i in new], [whole[s[j] : e[j]] for j in place[new]])
-        token = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[inv]
+        self._learn([x for x in strings if x not in self.known])
+        token = np.fromiter((self.known[x] for x in strings), np.int64, len(strings))[inv]
         n = self.at[token + 1] - self.at[token]
-        ids = self.flat[ranges(self.at[token], n)].astype(np.uint32)
+        ids = self.flat[ranges(self.at[token], n)]
         upto = np.concatenate([[0], np.cumsum(n)])
         edge = np.searchsorted(s, ends - sizes, "left")
         bounds = upto[np.append(edge, len(s))]
@@ -184,27 +183,54 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
 # --- packing ---------------------------------------------------------------------
 
 
-def _single(count: np.ndarray, gap: int) -> tuple[int, ...]:
-    return (gap,) if count[gap] else ()
-
-
-def _pair(count: np.ndarray, gap: int) -> tuple[int, ...]:
-    """Two lengths of sum ``gap``, the more even the better."""
-    a = np.arange(gap // 2, 0, -1)
-    b = gap - a
-    ok = np.flatnonzero(np.where(a == b, count[a] >= 2, (count[a] > 0) & (count[b] > 0)))
-    return (int(b[ok[0]]), int(a[ok[0]])) if len(ok) else ()
+class Complements:
+    """Which lengths, pairs and triples of lengths have a sum, under the counts left.
 
+    The index is made once.  Counts only fall, so what has run out goes from it for good.
+    """
 
-def _triple(count: np.ndarray, gap: int) -> tuple[int, ...]:
-    for c in range(gap // 3, 0, -1):
-        if count[c]:
-            count[c] -= 1
-            rest = _pair(count, gap - c)
-            count[c] += 1
-            if rest:
-                return (*rest, c)
-    return ()
+    def __init__(self, count: np.ndarray):
+        self.count = count
+        has = count > 0
+        self.pairs: list[list[int]] = []  # by sum: the smaller length, the most even pair last
+        for gap in range(len(count)):
+            a = np.arange(1, gap // 2 + 1)
+            self.pairs.append(a[has[a] & has[gap - a]].tolist())
+        some = np.array([bool(x) for x in self.pairs])
+        self.triples: list[list[int]] = []  # by sum: a length that leaves the sum of a pair
+        for gap in range(len(count)):
+            c = np.arange(1, gap // 3 + 1)
+            self.triples.append(c[has[c] & some[gap - c]].tolist())
+
+    def single(self, left: np.ndarray, gap: int) -> tuple[int, ...]:
+        return (gap,) if left[gap] else ()
+
+    def pair(self, left: np.ndarray, gap: int) -> tuple[int, ...]:
+        own = self.pairs[gap]
+        while own and not (self.count[own[-1]] and self.count[gap - own[-1]]):
+            own.pop()
+        for a in reversed(own):
+            b = gap - a
+            if left[a] > (a == b) and left[b]:
+                return (b, a)
+        return ()
+
+    def triple(self, left: np.ndarray, gap: int) -> tuple[int, ...]:
+        own = self.triples[gap]
+        while own and not (self.count[own[-1]] and self.pairs[gap - own[-1]]):
+            own.pop()
+        for c in reversed(own):
+            if left[c]:
+                left[c] -= 1
+                rest = self.pair(left, gap - c)
+                left[c] += 1
+                if rest:
+                    return (*rest, c)
+        return ()
+
+    def fill(self, left: np.ndarray, gap: int) -> tuple[int, ...]:
+        """Lengths of sum ``gap``, as few as can be, or none."""
+        return self.single(left, gap) or self.pair(left, gap) or self.triple(left, gap)
 
 
 def plan(counts: Mapping[int, int], size: int = 1024) -> list[tuple[tuple[int, ...], int]]:
@@ -212,7 +238,7 @@ def plan(counts: Mapping[int, int], size: int = 1024) -> list[tuple[tuple[int, .
     count = np.zeros(size + 1, np.int64)
     for n, c in counts.items():
         count[n] = c
-    out = []
+    index, out = Complements(count), []
 
     def use(lengths: tuple[int, ...]) -> None:
         kinds, need = np.unique(lengths, return_counts=True)
@@ -225,7 +251,7 @@ def plan(counts: Mapping[int, int], size: int = 1024) -> list[tuple[tuple[int, .
             left, gap, lengths = count.copy(), size - n, [n]
             left[n] -= 1
             while gap:
-                exact = _single(left, gap) or _pair(left, gap) or _triple(left, gap)
+                exact = index.fill(left, gap)
                 if exact:
                     lengths += exact
                     break

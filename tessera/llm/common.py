@@ -4,6 +4,7 @@ vectorised hashing over packed bytes."""
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -92,16 +93,16 @@ def ascii_lower(col):
 
 # --- vectorised hashing -----------------------------------------------------
 
-_POWERS: dict[int, list[np.ndarray]] = {}
-
-
 class Roller:
-    """Polynomial hashes of all substrings of an array, modulo 2**64.
+    """Polynomial hashes modulo 2**64 of all windows of an array of bytes.
 
-    ``prefix`` is built once; ``hash(start, end)`` is O(1) for each substring and
-    independent of where it stands.  Two rollers with different seeds give 128 bits.
+    They choose places (anchors) and nothing else: there are texts whose different
+    windows meet in such a hash, so what must be equal is compared by ``span_codes``
+    or by its bytes.
     """
 
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.seed = seed
@@ -110,41 +111,31 @@ class Roller:
         self.inverse = pow(self.base, -1, 1 << 64)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = _POWERS.get(self.seed)
+        have = self._powers.get(self.seed)
         if have is None or len(have[0]) < n:
             size = max(n, 1 << 16)
-            have = []
+            made = []
             for b in (self.base, self.inverse):
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
-                have.append(np.multiply.accumulate(p))
-            if size <= 1 << 23:
-                _POWERS[self.seed] = have
-        return have[0], have[1]
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """``values``: uint8 (mapped through the random table) or uint64 codes."""
-        n = len(values)
-        v = self.table[values] if values.dtype == np.uint8 else values.copy()
-        v *= self.powers(n + 1)[0][:n]
-        out = np.empty(n + 1, np.uint64)
-        out[0] = 0
-        np.cumsum(v, out=out[1:])
-        return out
-
-    def hash(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = prefix[end]
-        out -= prefix[start]
-        out *= self.powers(len(prefix))[1][start]
-        return out
-
-    def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
-        """The hash of every window of ``k`` values."""
-        n = len(prefix) - k
+                made.append(np.multiply.accumulate(p))
+            have = made[0], made[1]
+            if size <= 1 << 22:
+                self._powers[self.seed] = have
+        return have
+
+    def windows(self, data: np.ndarray, k: int) -> np.ndarray:
+        """The hash of every window of ``k`` bytes."""
+        n = len(data) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        out = prefix[k:] - prefix[:-k]
-        out *= self.powers(len(prefix))[1][:n]
+        forth, back = self.powers(len(data) + 1)
+        pre = self.table[data]
+        pre *= forth[: len(data)]
+        np.cumsum(pre, out=pre)
+        out = pre[k - 1 :].copy()
+        out[1:] -= pre[: n - 1]
+        out *= back[:n]
         return out
 
 
@@ -158,6 +149,80 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SPREAD = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
+_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_LONG = 512  # bytes; longer spans are left to blake2b
+
+
+def _step(h: np.ndarray, x: np.ndarray, which: int) -> np.ndarray:
+    """Take one more word into a hash: bijective in each argument and not linear."""
+    h = h ^ x
+    h *= _SPREAD[which]
+    h ^= h >> np.uint64(29 + which * 3)
+    return h
+
+
+def lanes(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes at every place of ``data`` (zeros behind its end) as a number."""
+    padded = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), f"{order}u8", padded.data, strides=(1,))
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, many: int = 2) -> list[np.ndarray]:
+    """``many`` (1 or 2) independent 64-bit hashes of each span of bytes, from the bytes up.
+
+    Eight bytes are taken in at a time by a step that isn't linear, so patterns in a
+    text can't make them meet; spans of over 512 bytes are hashed by blake2b.
+    """
+    n = end - start
+    out = [mixed(n.astype(np.uint64) ^ _SEEDS[i]) for i in range(many)]
+    word = lanes(data)
+    live = np.flatnonzero((n > 0) & (n <= _LONG))
+    at, rest = start[live], n[live]
+    while len(live):
+        x = word[at] & _TAIL[np.minimum(rest, 8)]
+        for i, h in enumerate(out):
+            h[live] = _step(h[live], x, i)
+        keep = rest > 8
+        live, at, rest = live[keep], at[keep] + 8, rest[keep] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        two = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest(), np.uint64)
+        for k, h in enumerate(out):
+            h[i] = two[k]
+    return [mixed(h) for h in out]
+
+
+def window_codes(code: np.ndarray, k: int, which: int) -> np.ndarray:
+    """The hash of every ``k`` consecutive codes."""
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, _SEEDS[which] + np.uint64(k), np.uint64)
+    for j in range(k):
+        h = _step(h, code[j : n + j], which)
+    return mixed(h)
+
+
+def run_codes(code: np.ndarray, first: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """The hash of the ``size[i]`` codes from ``first[i]`` on, taken in by fours."""
+    h = mixed(size.astype(np.uint64) ^ _SEEDS[which])
+    few = np.flatnonzero((size > 0) & (size < 4))
+    for j in range(3):
+        few = few[size[few] > j]
+        h[few] = _step(h[few], code[first[few] + j], which)
+    four = window_codes(code, 4, which)
+    live = np.flatnonzero(size >= 4)
+    h[live] = _step(h[live], four[(first + size - 4)[live]], which)
+    j = 0
+    while True:
+        live = live[size[live] > j + 4]
+        if not len(live):
+            return mixed(h)
+        h[live] = _step(h[live], four[first[live] + j], which)
+        j += 4
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every ``w`` consecutive values, by doubling."""
     if len(x) < w:

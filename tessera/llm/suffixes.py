@@ -1,16 +1,20 @@
 """Substring dedup over bytes with sorted suffixes.
 
-Of all suffixes only the anchors are sorted: the places whose following ``gram`` bytes
-have the least hash among those that a window of ``k`` bytes can see.  Every window
-has one, and equal windows have equal anchors.
+A window is ``k`` bytes; its anchor is the place of the least hash of the ``gram`` byte
+strings in it (the first, if several are least).  Equal windows have equal anchors at
+equal places, so only the suffixes at anchors are sorted, one for about 140 bytes.
 
 1. Blocks report the grams at their anchors; only grams that occur again go on.
-2. Sampled splitters range-partition the remaining suffixes by their leading bytes.  A
-   suffix carries the bytes of all windows that have it as anchor, equal ones of a
-   block once, so a passage that a third of all documents share comes once a block.
-3. Each range sorts its windows by a multikey sort: leading bytes first, then two
-   fingerprints of the window, each word only among what the last left tied.
-   Equal leading bytes never part, so no tie crosses a boundary between ranges.
+2. Sampled splitters, each the leading ``gram`` bytes of a suffix, range-partition the
+   remaining suffixes.  A suffix carries the bytes of all windows that have it as anchor,
+   equal ones of a block once, so a passage that a third of all documents share comes
+   once a block.
+3. Each range sorts its suffixes by a multikey sort: eight bytes at a time, each word only
+   among what the last left tied; and the bytes before the anchors, read backwards, in
+   the same way.  Two windows are equal where they are of one group in both orders, by
+   the lengths of common prefixes alone: no hash decides.  A range ends only where the
+   leading ``gram`` bytes change, so suffixes across a boundary have less in common
+   than the anchors of equal windows and no group crosses it.
 4. Blocks learn which windows are repeated and cut their documents.
 """
 
@@ -22,19 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, blocked, mixed, ranges, slices, sliding_min, stored, text_chunks
-from .superkmers import _unzip, _zip, runs, tied
+from .common import Roller, blocked, lanes, mixed, ranges, sliding_min, stored, text_chunks
+from .superkmers import _unzip, _zip, runs
 
-_ONE, _TWO = Roller(21), Roller(22)
+_GRAMS = Roller(21)
 _SAMPLED_SHARDS, _SAMPLE_EACH = 256, 64  # bounds of the sample for splitters
-
-
-def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as a big-endian number."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = out << np.uint64(8) | data[at + i].astype(np.uint64)
-    return out
+_PLACE = np.uint64(0xFFFFFFFF)
 
 
 class Chunk:
@@ -44,48 +41,24 @@ class Chunk:
         self.row, self.stop, self.data, self.to = row, stop, data, to
         n = len(data) - k + 1
         if n <= 0:
-            self.first = self.count = np.empty(0, np.int64)
+            self.first = self.count = self.anchor = np.empty(0, np.int64)
             self.value = np.empty(0, np.uint64)
             return
-        self.pre = _ONE.prefix(data)
-        self.grams = mixed(_ONE.windows(self.pre, gram))
-        least = sliding_min(self.grams, k - gram + 1)
+        grams = mixed(_GRAMS.windows(data, gram))
+        # half of the hash, then the place: the first of the least ones
+        key = grams & ~_PLACE
+        key |= np.arange(len(grams), dtype=np.uint64)
+        least = sliding_min(key, k - gram + 1)
+        del key
+        least &= _PLACE
         d = np.zeros(n + 1, np.int32)
         size = np.diff(to) - 1  # without the newline after each document
         fit = size >= k
         np.add.at(d, to[:-1][fit], 1)
         np.add.at(d, (to[:-1] + size - k + 1)[fit], -1)
-        self.first, self.count = runs(least, np.cumsum(d[:n]) > 0, 4096)
-        self.value = least[self.first]
-
-    def places(self, values: np.ndarray) -> np.ndarray:
-        """All places of the grams ``values`` (sorted, distinct)."""
-        mask = np.uint64((1 << 20) - 1)
-        may = np.zeros(1 << 20, bool)
-        may[values & mask] = True
-        at = np.flatnonzero(may[self.grams & mask])
-        i = np.minimum(np.searchsorted(values, self.grams[at]), max(len(values) - 1, 0))
-        return at[values[i] == self.grams[at]] if len(values) else at[:0]
-
-    def anchor(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the first least gram of the first window of each run stands, and
-        whether the gram stands at several places."""
-        out = np.empty(len(which), np.int64)
-        if not len(which):
-            return out, np.empty(0, bool)
-        value, first = self.value[which], self.first[which]
-        uniq, inv = np.unique(value, return_inverse=True)
-        places = self.places(uniq)
-        many = np.bincount(np.searchsorted(uniq, self.grams[places]), minlength=len(uniq)) > 1
-        i = np.searchsorted(places, first)
-        todo = np.arange(len(which))
-        while len(todo):
-            at = places[i[todo]]
-            ok = self.grams[at] == value[todo]
-            out[todo[ok]] = at[ok]
-            todo = todo[~ok]
-            i[todo] += 1
-        return out, many[inv]
+        self.first, self.count = runs(least, np.cumsum(d[:n]) > 0, k)
+        self.anchor = least[self.first].astype(np.int64)
+        self.value = grams[self.anchor]
 
 
 def _chunks(table, k: int, gram: int):
@@ -96,27 +69,22 @@ def _chunks(table, k: int, gram: int):
 class Strings:
     """The strings of a block whose anchor is in ``values``, equal ones once."""
 
-    def __init__(self, table, values: np.ndarray, k: int, gram: int, text: bool):
-        self.parts = []
-        first, count, chunk, k1, k2, lead, raw = [], [], [], [], [], [], []
+    def __init__(self, table, values: np.ndarray, k: int, gram: int):
+        self.parts, self.k = [], k
+        first, count, chunk, anchor, digest = [], [], [], [], []
         for c in _chunks(table, k, gram):
             which = np.flatnonzero(np.isin(c.value, values))
             f, n = c.first[which], c.count[which]
-            if len(which):
-                pre2 = _TWO.prefix(c.data)
-                first.append(f)
-                count.append(n)
-                chunk.append(np.full(len(f), len(self.parts)))
-                k1.append(_ONE.hash(c.pre, f, f + n + k - 1))
-                k2.append(_TWO.hash(pre2, f, f + n + k - 1))
-                if text:
-                    lead.append(_lead(c.data, c.anchor(which)[0]))
-                    all_ = c.data.tobytes()
-                    raw += [all_[a:b] for a, b in zip(f.tolist(), (f + n + k - 1).tolist(), strict=True)]
+            first.append(f)
+            count.append(n)
+            chunk.append(np.full(len(f), len(self.parts)))
+            anchor.append(c.anchor[which])
+            raw = memoryview(c.data)
+            digest += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(f.tolist(), (f + n + k - 1).tolist(), strict=True)]
             self.parts.append((c.row, c.stop, c.data, c.to))
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        self.first, self.count, self.chunk = join(first, np.int64), join(count, np.int64), join(chunk, np.int64)
-        key1, key2 = join(k1, np.uint64), join(k2, np.uint64)
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        self.first, self.count, self.chunk, self.anchor = join(first), join(count), join(chunk), join(anchor)
+        key1, key2 = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
         order = np.lexsort((key2, key1))
         new = np.ones(len(order), bool)
         new[1:] = (key1[order][1:] != key1[order][:-1]) | (key2[order][1:] != key2[order][:-1])
@@ -124,11 +92,24 @@ class Strings:
         self.string = np.empty(len(order), np.int64)
         self.string[order] = np.cumsum(new) - 1
         self.copies = np.diff(np.append(head, len(order)))
-        rep = order[head]
-        self.windows = self.count[rep]
-        if text:
-            self.lead = join(lead, np.uint64)[rep]
-            self.raw = [raw[i] for i in rep]
+        self.rep = order[head]
+        self.windows = self.count[self.rep]
+
+    def leads(self, gram: int) -> np.ndarray:
+        """The gram at the anchor of each string."""
+        out = np.empty(len(self.rep), f"S{gram}")
+        for p, (_, _, data, _) in enumerate(self.parts):
+            x = np.flatnonzero(self.chunk[self.rep] == p)
+            out[x] = grams_at(data, self.anchor[self.rep[x]], gram)
+        return out
+
+    def raw(self, which: np.ndarray) -> bytes:
+        at = self.rep[which]
+        return b"".join(self.parts[c][2][a:b].tobytes() for c, a, b in zip(self.chunk[at].tolist(), self.first[at].tolist(), (self.first[at] + self.count[at] + self.k - 1).tolist(), strict=True))
+
+
+def grams_at(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    return data[at[:, None] + np.arange(gram)].reshape(-1).view(f"S{gram}") if len(at) else np.empty(0, f"S{gram}")
 
 
 def _cut(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +123,79 @@ def _values(table) -> np.ndarray:
     return np.unique(np.concatenate(got)) if got else np.empty(0, np.uint64)
 
 
+def multikey_sort(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of ``size[i]`` bytes from ``at[i]`` on, and how many bytes
+    each has in common with the one before it.
+
+    Eight bytes at a time: a word is only looked at among what all words before left tied.
+    """
+    word = lanes(data, ">")
+    order = np.argsort(size, kind="stable")  # the shorter of two with equal bytes comes first
+    common = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))  # places in the order that are tied with a neighbour
+    group = np.zeros(len(at), np.int64)
+    depth = 0
+    while len(live):
+        who = order[live]
+        left = size[who] - depth
+        x = word[np.minimum(at[who] + depth, len(data))].astype(np.uint64)
+        short = np.flatnonzero(left < 8)
+        x[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - np.clip(left[short], 1, 8)).astype(np.uint64))
+        x[short[left[short] <= 0]] = 0
+        by = np.lexsort((x, group))  # stable
+        who, x, group = who[by], x[by], group[by]
+        order[live] = who
+        tie = np.zeros(len(live), bool)
+        tie[1:] = group[1:] == group[:-1]
+        differ = np.zeros(len(live), np.uint64)
+        differ[1:] = x[1:] ^ x[:-1]
+        new = np.flatnonzero(tie & (differ != 0))
+        # leading bytes that agree: from the exponent of what differs
+        same = (63 - np.floor(np.log2(differ[new].astype(np.float64) * (1 - 2.0**-53))).astype(np.int64)) // 8
+        common[live[new]] = depth + same
+        tie[new] = False
+        ended = np.flatnonzero(tie & (np.minimum(size[who], np.concatenate([[0], size[who[:-1]]])) <= depth + 8))
+        common[live[ended]] = size[who[ended - 1]]
+        # what has ended, and all that is tied with it, is sorted by size
+        start = ~tie
+        group = np.cumsum(start) - 1
+        n = np.bincount(group)
+        going = np.bincount(group, (size[who] > depth + 8).astype(np.float64)) > 1
+        keep = (n > 1) & going
+        stay = keep[group]
+        live, group = live[stay], group[stay]
+        depth += 8
+    lo = np.minimum(size[order], np.concatenate([[0], size[order[:-1]]])) if len(at) else size
+    return order, np.minimum(common, lo)
+
+
+def repeated_windows(text: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+    """Which windows occur again: string i starts at ``at[i]`` of ``text``, has ``n[i]``
+    windows and its anchor ``anchor[i]`` bytes from its start.  Windows in a row."""
+    right, r_common = multikey_sort(text, at + anchor, n + k - 1 - anchor)
+    flip = np.ascontiguousarray(text[::-1])
+    left, l_common = multikey_sort(flip, len(text) - at - anchor, anchor)
+    base = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), bool)
+    place = np.arange(len(n))
+    low = anchor - n + 1
+    one, two = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    for before in range(int(low.min(initial=0)), int(anchor.max(initial=-1)) + 1):
+        on = np.flatnonzero((low <= before) & (before <= anchor))
+        if len(on) < 2:
+            continue
+        one[right] = np.maximum.accumulate(np.where(r_common < k - before, place, 0))
+        two[left] = np.maximum.accumulate(np.where(l_common < before, place, 0))
+        key = one[on] * len(n) + two[on]
+        by = np.argsort(key)
+        v = key[by]
+        same = np.zeros(len(by) + 1, bool)
+        same[1:-1] = v[1:] == v[:-1]
+        hit = on[by[same[1:] | same[:-1]]]
+        out[base[hit] + anchor[hit] - before] = True
+    return out
+
+
 def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, keep_bytes: bool = False) -> DataFrame:
     """Remove each byte in a string of ``k`` bytes that starts anywhere else too.
 
@@ -151,71 +205,79 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
 
     * Null or empty text has no bytes; a text of fewer than ``k`` bytes loses none.
     * Repeated rows are copies of each other; a null id is an id like any other.
-    * Windows are compared by their leading bytes and two 64-bit fingerprints.
+    * Windows are compared by their bytes; what a block holds several times is told by 128
+      bits of hash of its bytes.
+    * A document, of any length, is read whole by one task; an empty table gives an empty
+      one.  Columns other than id and text are left out, whatever their names.
     """
-    spark = docs.sparkSession
     base, blocks = blocked(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, block_bytes)
     shards = 2 * blocks
 
     def report(table):
         import pyarrow as pa
 
-        value, lead, twice = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        value, lead, n = [np.empty(0, np.uint64)], [np.empty(0, f"S{gram}")], [np.empty(0, np.int64)]
         for c in _chunks(table, k, gram):
-            if len(c.value):
-                at, many = c.anchor(np.arange(len(c.value)))
-                value.append(c.value)
-                lead.append(_lead(c.data, at))
-                twice.append(many)
-        v, at, inv, n = np.unique(np.concatenate(value), return_index=True, return_inverse=True, return_counts=True)
+            v, at, many = np.unique(c.value, return_index=True, return_counts=True)
+            value.append(v)
+            n.append(many)
+            # the sample of leading bytes: those of the least grams of some shards
+            some = (v >> np.uint64(20)) % np.uint64(shards) < _SAMPLED_SHARDS
+            lead.append(np.where(some & (v % np.uint64(16) == 0), grams_at(c.data, c.anchor[at], gram), b""))
+        v, at, inv = np.unique(np.concatenate(value), return_index=True, return_inverse=True)
+        many = np.bincount(inv, np.concatenate(n), minlength=len(v)) > 1
         lead = np.concatenate(lead)[at]
-        many = n > 1
-        many[inv[np.concatenate(twice)]] = True
         shard = (v >> np.uint64(20)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         edge, stop = _cut(order, shard)
-        payload = [_zip(v[order[a:z]], lead[order[a:z]], many[order[a:z]]) for a, z in zip(edge, stop, strict=True)]
+        payload = []
+        for a, z in zip(edge, stop, strict=True):
+            own = lead[order[a:z]]
+            has = np.flatnonzero(own != b"")
+            payload.append(_zip(v[order[a:z]], many[order[a:z]], has.astype(np.uint32), own[has].view(np.uint8)))
         block = table.column("block")[0].as_py()
         return pa.table({"shard": pa.array(shard[order][edge].astype(np.int64)), "block": pa.array([block] * len(edge), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     def again(table):
         import pyarrow as pa
 
-        got = [_unzip(x.as_py(), np.uint64, np.uint64, np.bool_) for x in table.column("payload")]
+        got = [_unzip(x.as_py(), np.uint64, np.bool_, np.uint32, np.uint8) for x in table.column("payload")]
         v = np.concatenate([g[0] for g in got])
         uniq, inv, n = np.unique(v, return_inverse=True, return_counts=True)
         more = n > 1
-        more[inv[np.concatenate([g[2] for g in got])]] = True
+        more[inv[np.concatenate([g[1] for g in got])]] = True
         keep = more[inv]
-        to, payload, at = [], [], 0
+        to, payload, leads, at = [], [], {}, 0
         for block, g in zip(table.column("block").to_pylist(), got, strict=True):
             x = keep[at : at + len(g[0])]
             at += len(g[0])
             if x.any():
                 to.append(block)
                 payload.append(_zip(g[0][x]))
-        leads = np.concatenate([g[1] for g in got])[keep][np.argsort(v[keep], kind="stable")][:_SAMPLE_EACH]
-        sample = [leads.tobytes() if i == 0 and table.column("shard")[0].as_py() < _SAMPLED_SHARDS else None for i in range(len(to))]
+                leads |= {int(g[0][i]): y for i, y in zip(g[2].tolist(), g[3].reshape(-1, gram), strict=True) if x[i]}
+        few = b"".join(leads[i].tobytes() for i in sorted(leads)[:_SAMPLE_EACH])
+        sample = [few if i == 0 and few else None for i in range(len(to))]
         return pa.table({"block": pa.array(to, pa.int32()), "payload": pa.array(payload, pa.binary()), "sample": pa.array(sample, pa.binary())})
 
     grams = base.groupBy("block").applyInArrow(report, "shard long, block int, payload binary")
     repeats = stored(grams.groupBy("shard").applyInArrow(again, "block int, payload binary, sample binary"), "repeats")
-    sample = [r[0] for r in repeats.where("sample is not null").select("sample").collect()]  # 256 x 64 numbers at most
-    leads = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in sample] or [np.empty(0, np.uint64)]))
+    sample = [r[0] for r in repeats.where("sample is not null").select("sample").collect()]  # 256 x 64 grams at most
+    leads = np.unique(np.frombuffer(b"".join(sample), f"S{gram}"))
     splitters = np.unique(leads[np.linspace(0, len(leads) - 1, 2 * blocks + 1).astype(int)[1:-1]]) if len(leads) else leads
     repeats = repeats.select("block", "payload")
 
     def send(table, known):
         import pyarrow as pa
 
-        s = Strings(table, _values(known), k, gram, True)
-        part = np.searchsorted(splitters, s.lead, "right") if len(s.windows) else np.empty(0, np.int64)
+        s = Strings(table, _values(known), k, gram)
+        part = np.searchsorted(splitters, s.leads(gram), "right")
         order = np.argsort(part, kind="stable")
         edge, stop = _cut(order, part)
         payload = []
         for a, z in zip(edge.tolist(), stop.tolist(), strict=True):
             w = order[a:z]
-            payload.append(_zip(w.astype(np.uint32), s.windows[w].astype(np.uint16), s.copies[w] > 1, np.frombuffer(b"".join(s.raw[i] for i in w), np.uint8)))
+            at = s.rep[w]
+            payload.append(_zip(w.astype(np.uint32), s.windows[w].astype(np.uint16), (s.anchor - s.first)[at].astype(np.uint16), s.copies[w] > 1, np.frombuffer(s.raw(w), np.uint8)))
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"range": pa.array(part[order][edge], pa.int64()), "block": pa.array([block] * len(edge), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
@@ -223,21 +285,14 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
         import pyarrow as pa
 
         blocks_ = table.column("block").to_numpy()
-        got = [_unzip(x.as_py(), np.uint32, np.uint16, np.bool_, np.uint8) for x in table.column("payload")]
-        string, n, many, text = (np.concatenate([g[i] for g in got]) for i in range(4))
-        n = n.astype(np.int64)
+        got = [_unzip(x.as_py(), np.uint32, np.uint16, np.uint16, np.bool_, np.uint8) for x in table.column("payload")]
+        string, n, anchor, many, text = (np.concatenate([g[i] for g in got]) for i in range(5))
+        n, anchor = n.astype(np.int64), anchor.astype(np.int64)
         source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        at = np.cumsum(n + k - 1) - (n + k - 1)
+        del got
         owner = np.repeat(np.arange(len(n)), n)
-        parts = []
-        for a, z in slices(n + k - 1, 1 << 20):  # bounds what hashing needs beside the keys
-            part = text[at[a] : at[z - 1] + n[z - 1] + k - 1]
-            w = ranges(at[a:z] - at[a], n[a:z])
-            parts.append([_lead(part, w)] + [r.windows(r.prefix(part), k)[w] for r in (_ONE, _TWO)])
-        keys = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        del parts
-        twice = many[owner]
-        twice[tied(keys)[0]] = True
+        twice = repeated_windows(text, np.cumsum(n + k - 1) - (n + k - 1), n, anchor, k)
+        twice |= many[owner]
         # runs of repeated windows within a string
         brk = np.zeros(len(owner), bool)
         brk[np.cumsum(n) - n] = True
@@ -259,7 +314,7 @@ def repeated_bytes(docs: DataFrame, k: int = 400, gram: int = 128, id_col: str =
         import pyarrow as pa
 
         told = answers.column("found").to_numpy(zero_copy_only=False).astype(bool) if answers.num_rows else np.empty(0, bool)
-        s = Strings(table, _values(answers.filter(pa.array(~told))), k, gram, False)
+        s = Strings(table, _values(answers.filter(pa.array(~told))), k, gram)
         n_str = len(s.windows)
         got = [_unzip(x.as_py(), np.uint32, np.uint16, np.uint16) for x in answers.filter(pa.array(told)).column("payload")]
         string, at, length = (np.concatenate([g[i] for g in got] or [np.empty(0, np.int64)]).astype(np.int64) for i in range(3))

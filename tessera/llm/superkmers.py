@@ -17,17 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, blocked, mixed, ranges, slices, sliding_min, text_chunks, word_bounds
+from .common import blocked, ranges, run_codes, slices, sliding_min, span_codes, text_chunks, window_codes, word_bounds
 
 _NONE = np.iinfo(np.int64).max
-_BYTES, _CODES, _SECOND = Roller(11), Roller(12), Roller(13)
 _MOST = 64  # windows in one string; longer runs are cut
 
 
-def word_codes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return mixed(_BYTES.hash(_BYTES.prefix(data), s, e) + (e - s).astype(np.uint64))
-
-
 def runs(key: np.ndarray, valid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and length of each run of valid places with one key."""
     if not len(key):
@@ -76,17 +71,15 @@ class Block:
             s, e = word_bounds(data)
             self.parts.append(Part(row, stop, data, to, s, e, words))
             of = np.searchsorted(to, s, "right") - 1 + row
-            code = word_codes(data, s, e)
-            pre = _CODES.prefix(code)
+            one, two = span_codes(data, s, e)
             n = len(s) - k + 1
             if n > 0:
-                least = sliding_min(mixed(_CODES.windows(pre, m)), k - m + 1)
+                least = sliding_min(window_codes(one, m, 0), k - m + 1)
                 f, c = runs(least, (of[:n] == of[k - 1 :]) & self.known[of[:n]], _MOST)
-                pre2 = _SECOND.prefix(code)
                 first.append(f + words)
                 count.append(c)
-                k1.append(_CODES.hash(pre, f, f + c + k - 1))
-                k2.append(_SECOND.hash(pre2, f, f + c + k - 1))
+                k1.append(run_codes(one, f, c + k - 1, 0))
+                k2.append(run_codes(two, f, c + k - 1, 1))
                 low.append(least[f])
                 doc.append(of[f])
             words += len(s)
@@ -181,8 +174,10 @@ def repeated_words(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
     * Null or empty text has no words; a text of fewer than k words loses none.
     * Rows that share an id don't take words from each other.  Repeated rows stay.
     * A null id can't be ordered: its row loses nothing and takes nothing.
-    * Windows are compared by two 64-bit hashes of their words; the strings that
-      travel are the words themselves.
+    * Windows are compared by two independent 64-bit hashes of their words, made from
+      the bytes up; the strings that travel are the words themselves.
+    * A document, of any length, is read whole by one task; an empty table gives an empty
+      one.  Columns other than id and text are left out, whatever their names.
     """
     base, blocks = blocked(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, block_bytes)
     buckets = 4 * blocks
@@ -218,10 +213,10 @@ def repeated_words(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
         parts = []
         for a, z in slices(np.diff(end, prepend=0), 1 << 20):  # bounds what hashing needs beside the keys
             part = text[end[a - 1] if a else 0 : end[z - 1]]
-            code = word_codes(part, *word_bounds(part))
+            codes = span_codes(part, *word_bounds(part))
             words = n[a:z] + k - 1
             w = ranges(np.cumsum(words) - words, n[a:z])  # first word of each window
-            parts.append([r.hash(r.prefix(code), w, w + k) for r in (_CODES, _SECOND)])
+            parts.append([window_codes(c, k, i)[w] for i, c in enumerate(codes)])
         keys = [np.concatenate(x) for x in zip(*parts, strict=True)]
         place, group = tied(keys)
         least = low[owner]

@@ -89,7 +89,6 @@ def test_tokens_are_those_of_the_library(docs_of):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(best_fit.default_tokenizer())
-    t.encode_special_tokens = True
     texts = ["Hello  world\n\n x", "it's we'll 'quoted'", "a\t b  c ", "", None, "  ", "É ñandú 12 34.5!", "日本語 text", "x" * 3000, "end\n", "<|endoftext|> a", " \n a", "two words " * 900]
     enc = best_fit.Encoder(best_fit.default_tokenizer())
     ids, counts = enc.encode([x or "" for x in texts])
@@ -105,6 +104,35 @@ def test_tokens_are_those_of_the_library(docs_of):
     assert [back[i] for i in range(len(texts))] == [x + [2] for x in want]
 
 
+def morse(n: int, one: str = "a", two: str = "b") -> str:
+    """A Thue-Morse word: against its complement it meets in any polynomial hash modulo 2**64."""
+    return "".join((one, two)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_morse_words_are_told_apart(docs_of):
+    from tokenizers import Tokenizer
+
+    x, y = morse(2048), morse(2048, "b", "a")
+    t = Tokenizer.from_file(best_fit.default_tokenizer())
+    ids, counts = best_fit.Encoder(best_fit.default_tokenizer()).encode([x, y, f"{x} {y}"])
+    want = [t.encode(i, add_special_tokens=False).ids for i in (x, y, f"{x} {y}")]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(i) for i in want]
+
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    data = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{same} {x}")]
+    got = superkmers.repeated_words(docs_of(data))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(data, 13)
+    code = [(i, " ".join(morse(2048, *w).split())) for i, w in ((4, ("a ", "b ")), (5, ("b ", "a ")))]
+    assert rows(superkmers.repeated_words(docs_of(code)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(code, 13)
+
+    data = [(1, x), (2, y), (3, x.upper()), *code]
+    assert rows(part_enum.near_duplicates(docs_of(data)), "doc_id", "n_shingles", "component_id") == brute_groups(data)
+
+    data = [(1, x), (2, y), (3, x + "c"), (4, morse(2048, "é", "è"))]
+    got = suffixes.repeated_bytes(docs_of(data))
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(data, 400)
+
+
 def test_added_tokens_have_their_id(docs_of):
     from tokenizers import Tokenizer
 
@@ -134,6 +162,25 @@ def test_plan_uses_exact_complements():
         assert sum(m for _, m in p) <= 1.1 * sum(k * n for k, n in c.items()) / 1024 + 2
 
 
+def test_complements_are_found_while_the_counts_allow():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(40):
+        count = np.zeros(61, np.int64)
+        for _ in range(rng.randrange(1, 12)):
+            count[rng.randrange(1, 61)] += rng.randrange(1, 3)
+        index = best_fit.Complements(count)
+        while count.any():
+            for gap in range(1, 61):
+                has = [n for n in range(1, 61) for _ in range(min(count[n], 3))]
+                could = gap in has or any(a + b == gap for i, a in enumerate(has) for b in has[i + 1 :])
+                could = could or any(has[i] + has[j] + has[m] == gap for i in range(len(has)) for j in range(i) for m in range(j))
+                got = index.fill(count.copy(), gap)
+                assert bool(got) == could and sum(got) == gap * could and all(Counter(got)[n] <= count[n] for n in got)
+            count[rng.choice(np.flatnonzero(count).tolist())] -= 1
+
+
 def test_sequences_are_gapless(docs_of):
     rng = random.Random(2)
     docs = docs_of([" ".join(rng.choice(["alpha", "beta", "x1"]) for _ in range(rng.randrange(0, 900))) for _ in range(150)])
@@ -208,16 +255,32 @@ def test_sharding_moves_rows_only_into_the_new_shard(docs_of):
     assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
 
 
-def test_weights_move_only_what_they_must(docs_of):
+def test_weights_move_rows_only_into_what_has_grown(docs_of):
     docs = docs_of([(i, "x") for i in range(4000)])
-    base = sharding.topology(6, per_rack=2)
+    base = sharding.topology(12, per_rack=2)  # regions of two racks of two shards
     heavy = [sharding.Shard(s.shard, s.rack, s.region, 2.0 if s.shard == 3 else 1.0) for s in base]
-    a = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, [*base[:-1], sharding.Shard(5, 2, 1, 1.0000001)]).collect()}
-    b = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, heavy).collect()}
-    moved = {i for i in a if a[i] != b[i]}
-    assert moved and {b[i] for i in moved} == {3}
-    assert sum(v == 3 for v in b.values()) / 4000 == pytest.approx(2 / 7, abs=0.04)
+    at = [{r["doc_id"]: r for r in sharding.shard_documents(docs, t).collect()} for t in (base, heavy)]
+    moved = 0
+    for i, a in at[0].items():
+        b = at[1][i]
+        moved += a["shard"] != b["shard"]
+        if a["region"] != b["region"]:
+            assert b["region"] == 0
+        elif a["rack"] != b["rack"]:
+            assert b["rack"] == 1
+        elif a["shard"] != b["shard"]:
+            assert b["shard"] == 3
+    assert 0 < moved < 4000 * 0.2
+    assert sum(r["shard"] == 3 for r in at[1].values()) / 4000 == pytest.approx(2 / 13, abs=0.03)
+    assert sum(r["rack"] == 1 for r in at[1].values()) / 4000 == pytest.approx(3 / 13, abs=0.03)
+    closed = [sharding.Shard(s.shard, s.rack, s.region, 0.0 if s.rack == 1 else 1.0) for s in base]
+    gone = {r["doc_id"]: r for r in sharding.shard_documents(docs, closed).collect()}
+    assert all(r["rack"] != 1 for r in gone.values())
+    # the region has lost weight: rows leave it or move within it, and none comes in
+    assert all(gone[i]["shard"] == a["shard"] for i, a in at[0].items() if a["region"] != 0)
     assert sharding.shard_documents(docs.limit(0), base).count() == 0
+    with pytest.raises(ValueError):
+        sharding.place(F.col("doc_id"), [sharding.Shard(0, 0, 0, 0.0)])
 
 
 # --- 8 ------------------------------------------------------------------------------------
