@@ -32,6 +32,7 @@ from .superkmers import _unzip, _zip, runs
 _GRAMS = Roller(21)
 _SAMPLED_SHARDS, _SAMPLE_EACH = 256, 64  # bounds of the sample for splitters
 _PLACE = np.uint64(0xFFFFFFFF)
+_LEADING = np.array([1 << 64 - 8 * i for i in range(1, 8)], np.uint64)
 
 
 class Chunk:
@@ -150,9 +151,8 @@ def multikey_sort(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[n
         differ = np.zeros(len(live), np.uint64)
         differ[1:] = x[1:] ^ x[:-1]
         new = np.flatnonzero(tie & (differ != 0))
-        # leading bytes that agree: from the exponent of what differs
-        same = (63 - np.floor(np.log2(differ[new].astype(np.float64) * (1 - 2.0**-53))).astype(np.int64)) // 8
-        common[live[new]] = depth + same
+        agree = (differ[new][:, None] < _LEADING).sum(1)  # leading bytes
+        common[live[new]] = depth + agree
         tie[new] = False
         ended = np.flatnonzero(tie & (np.minimum(size[who], np.concatenate([[0], size[who[:-1]]])) <= depth + 8))
         common[live[ended]] = size[who[ended - 1]]
