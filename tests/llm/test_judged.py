@@ -147,6 +147,36 @@ def test_leaks_behind_any_text(spark):
     assert got == {1: False, 2: False, 3: True, 4: True, 5: True}
 
 
+def test_leaks_of_first_words(spark):
+    items = [(1, "Alice has 3 apples and gives 2 apples to her best friend"), (2, "What is 2 plus 2?"), (3, "A train is late. Anna waits 5 minutes for it and Anna then walks home")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cases = [
+        (1, "Bob has 7 apples and gives 4 apples to her best friend"), (2, "Then Bob has 7 apples and gives 4 apples to her best friend."), (3, "Well. What is 2 plus 2?"), (4, "What is 2 plus 3?"),
+        (5, "A train is late. Maria waits 9 minutes for it and Maria then walks home"), (6, "A train is late. Maria waits 9 minutes for it and Paul then walks home"), (7, "Bob had 7 pears and gave 4 apples to her best friend"),
+    ]
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (3, 2): False, (5, 3): True}
+
+
+def test_leaks_read_the_documents_once(spark, tmp_path):
+    items = [(1, "one two three"), (2, "four five six seven eight"), (3, ITEM), (4, "nine")]
+    spark.createDataFrame([(1, "zero one two three four"), (2, ITEM)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    seen, real = [], decontaminate.stored
+
+    def watch(df, name):
+        seen.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id")))
+        return real(df, name)
+
+    decontaminate.stored, got = watch, None
+    try:
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    finally:
+        decontaminate.stored = real
+    assert got == {(1, 1), (2, 3)} and dict(seen)["aligned"] == 1
+
+
 def test_urls(spark, clashing):
     day = "2024-0%d-01"
     events = [("Example.com", "block", day % 1), ("example.com", "lift", day % 3), ("a.example.com", "allow", day % 2), ("b.org/x", "block", day % 1), ("b.org", "allow", day % 1), ("b.org", "block", day % 1), (None, "block", day % 1)]
