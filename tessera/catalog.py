@@ -8,19 +8,25 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera import schema
 from tessera.operators.history import keep_first, latest_snapshot
 
+REPLACED = ("repositories", "analysis_runs")  # each write is a whole new revision
 BY_SNAPSHOT = ("files", "modules", "symbols", "edges", "metrics", "tests", "coverage", "vectors")
 
 
+_REVISION = StructField("revision", LongType())
+
+
 def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -51,13 +57,19 @@ class Store:
         prunes partitions."""
         want = schema.TABLES[table]
         try:
-            df = self.spark.read.schema(want).parquet(self.path(table))
+            df = self.spark.read.schema(want if table not in REPLACED else StructType([*want, _REVISION])).parquet(self.path(table))
         except AnalysisException:
             return self.spark.createDataFrame([], want)
+        if table in REPLACED:
+            df = self._newest(df, want)
         if snapshot_id is not None:
             df = df.where(F.col("snapshot_id") == F.lit(snapshot_id))
         return df.select(*want.names)
 
+    def _newest(self, df: DataFrame, want: StructType) -> DataFrame:
+        last = df.agg(F.max("revision")).first()[0]
+        return df.where(F.col("revision") == F.lit(last)) if last is not None else df.limit(0)
+
     def latest(self) -> str | None:
         row = latest_snapshot(self.read("snapshots")).first()
         return row["id"] if row else None
@@ -75,15 +87,19 @@ class Store:
         want = schema.TABLES[table]
         cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]
         out = df.select(*cols)
-        if table in BY_SNAPSHOT:
-            out.repartition("snapshot_id").write.mode("append").partitionBy("snapshot_id").parquet(self.path(table))
-        else:
+        if table in BY_SNAPSHOT:  # as many tasks as the rows came in, whatever the snapshot
+            out.write.mode("append").partitionBy("snapshot_id").parquet(self.path(table))
+        elif table in ("findings", "evidence"):
+            out.write.mode("append").parquet(self.path(table))
+        else:  # a row a call
             out.coalesce(1).write.mode("append").parquet(self.path(table))
 
     def _replace(self, table: str, df: DataFrame) -> None:
-        """Overwrite a small table that the new rows are made from."""
+        """Write a small table anew as its next revision.  Readers take the newest one, which
+        its one file makes visible at once, so a crash leaves the revision before."""
         rows = df.select(*schema.TABLES[table].names).collect()  # one row for each repository or run
-        self.spark.createDataFrame(rows, schema.TABLES[table]).coalesce(1).write.mode("overwrite").parquet(self.path(table))
+        out = self.spark.createDataFrame(rows, schema.TABLES[table]).coalesce(1).withColumn("revision", F.lit(time.time_ns()))
+        out.write.mode("append").parquet(self.path(table))
 
     def upsert_repository(self, name: str, root_path: str) -> dict:
         """A known name keeps its id and creation time and gets the new path.
@@ -109,7 +125,7 @@ class Store:
         """The metrics with ``new`` on top: the last value of (snapshot, subject, name,
         analyzer) wins.  Returned, not written: the caller appends or compares."""
         names = schema.TABLES["metrics"].names
-        both = self.read("metrics").withColumn("o", F.lit(0)).unionByName(new.select(*names).withColumn("o", F.monotonically_increasing_id().cast("int") + 1))
+        both = self.read("metrics").withColumn("o", F.lit(0).cast("long")).unionByName(new.select(*names).withColumn("o", F.monotonically_increasing_id() + 1))
         return keep_first(both, ["snapshot_id", "subject_id", "name", "analyzer"], "o", last=True).select(*names)
 
     def add_findings(self, findings: DataFrame, evidence: DataFrame) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import importlib.util
 import json
 import shutil
@@ -52,6 +53,8 @@ def parser() -> argparse.ArgumentParser:
     add("benchmark-tokens", "whole files against packs", (("cases",), {}), budget)
     add("audit", "run policies", (("policies",), {"help": "folder of YAML files"}))
     add("brief", "counts, modules and the stored brief")
+    add("analyze", "dossiers of modules and a brief by a language model", (("--model",), {"default": None, "help": "module:attribute of a model"}), (("--module",), {"default": None}),
+        (("--dry-run",), {"action": "store_true", "help": "only the sizes of the evidence packs"}), (("--max-tokens",), {"type": int, "default": 4000}))
     add("reindex", "store vectors of the latest snapshot")
     add("callers", "who calls a symbol", (("symbol",), {}), (("--depth",), {"type": int, "default": 3}))
     add("symbol", "a symbol and its relations", (("symbol",), {}))
@@ -95,6 +98,19 @@ def run(args: argparse.Namespace, spark=None) -> object:
             return [r.asDict() for r in engine.audit(load_policies(args.policies)).collect()]
         case "brief":
             return engine.overview()
+        case "analyze" if args.dry_run:
+            ranked, out = engine.ranking(), []
+            for m in engine.table("modules").orderBy("path").collect():
+                if args.module in (None, m["name"], m["path"]):
+                    pack = engine.module_pack(m["path"], args.max_tokens, ranked=ranked)
+                    out.append({"module": m["name"], "symbols": len(pack["symbols"]), "tokens": engine.count(json.dumps(pack, ensure_ascii=False))})
+            return out
+        case "analyze":
+            if not args.model or ":" not in args.model:
+                raise SystemExit("analyze needs --model module:attribute or --dry-run")
+            where, what = args.model.split(":", 1)
+            model = getattr(importlib.import_module(where), what)
+            return engine.analyze(model() if isinstance(model, type) else model, module=args.module, budget=args.max_tokens)
         case "reindex":
             return {"embedded": engine.reindex()}
         case "callers":

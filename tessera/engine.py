@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera import schema
 from tessera.catalog import Store
@@ -78,9 +79,16 @@ class Engine:
         return [sorted(r["n"] for r in rows if r["depth"] == d) for d in range(1, max([r["depth"] for r in rows], default=0) + 1)]
 
     def findings(self, severities: list[str] | None = None, module: str | None = None) -> list[dict]:
+        """Confirmed findings, the gravest first, each with its first three pieces of evidence."""
         f = policy.findings_where(self.store.findings(), severities, module)
         rank = F.array_position(F.array(*map(F.lit, schema.SEVERITIES)), F.col("severity"))
-        return [r.asDict() for r in f.orderBy(F.desc(rank), "created_at", "id").collect()]
+        rows = [r.asDict() for r in f.orderBy(F.desc(rank), "created_at", "id").collect()]
+        first = F.row_number().over(Window.partitionBy("owner_id").orderBy("path", "start_line", "id"))
+        e = self.store.read("evidence").where("owner_kind = 'finding'").join(f.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
+        top: dict[str, list[dict]] = {}
+        for r in e.withColumn("n", first).where("n <= 3").orderBy("owner_id", "n").collect():
+            top.setdefault(r["owner_id"], []).append({"path": r["path"], "start_line": r["start_line"], "excerpt": shown(r["excerpt"] or "") if self.expose_source else MASKED})
+        return [r | {"evidence": top.get(r["id"], [])} for r in rows]
 
     def get_evidence(self, finding_id: str | None = None, path: str | None = None, start: int = 1, end: int | None = None) -> list[dict]:
         """A finding's evidence, or lines of an indexed file within 2,000 tokens."""
@@ -153,10 +161,14 @@ class Engine:
         if seeds:
             s = self.store.spark.createDataFrame([(x,) for x in seeds], "id string")
             ordered = ordered.join(graph.expand(edges, s, outgoing_only=include_source), "id", "left_semi").orderBy(F.desc("relevance"), F.desc("rank"), "path", "start_line", "id")
-        # a pack holds 64,000 tokens; no more rows than that can be of use
-        cands = [r.asDict() for r in ordered.limit(64_000).collect()]
-        scope = self.store.spark.createDataFrame([(c["id"],) for c in cands], "id string")
-        links = [r.asDict() for r in graph.induced(edges, scope).select("source_id", "target_id", "edge_type", "analyzer").limit(64_000).collect()]
+        # every row of a pack costs tokens, so no more rows than the budget has can be of use
+        ordered = graph.cut(ordered)
+        related = graph.cut(graph.induced(edges, ordered.select("id")).select("source_id", "target_id", "edge_type", "analyzer", "confidence"))
+        totals = ordered.count(), related.count()
+        best = [F.desc("relevance"), F.desc("rank"), "path", "start_line", "id"]
+        cands = [r.asDict() for r in ordered.orderBy(*best).limit(max(budget, 1)).collect()]
+        shown_ = self.store.spark.createDataFrame([(c["id"],) for c in cands], "id string")
+        links = [r.asDict() for r in graph.induced(related, shown_).limit(max(budget, 1)).collect()]
         repo = self.store.repository()
         head = f"{repo['name']} at {repo['commit_sha'][:12]} ({self.snapshot})"
         read = None
@@ -167,7 +179,7 @@ class Engine:
                     raise packing.StaleSource("source access is disabled")
                 return self._source(s["path"])
 
-        return packing.pack_context(head, cands, links, seeds, budget, read, self.count)
+        return packing.pack_context(head, cands, links, seeds, budget, read, self.count, totals)
 
     # --- policies and analysis ----------------------------------------------------------------
 
@@ -194,7 +206,11 @@ class Engine:
             totals = n if totals is None else totals.union(n)
         return totals if totals is not None else spark.createDataFrame([], "policy_id string, status string, n long")
 
-    def module_pack(self, module_path: str, budget: int = 6000, max_symbols: int | None = None, max_edges: int | None = None) -> dict:
+    def ranking(self) -> DataFrame:
+        """The rank of all symbols without a query, the same for every module."""
+        return graph.cut(graph.personalized_rank(self.table("symbols"), self.table("edges"), "", []))
+
+    def module_pack(self, module_path: str, budget: int = 6000, max_symbols: int | None = None, max_edges: int | None = None, ranked: DataFrame | None = None) -> dict:
         """A module's evidence under a budget; its fingerprint covers what was left out too."""
         f = self.facts()
         owned = f["owners"].where(F.col("module") == module_path).select("id")
@@ -205,7 +221,7 @@ class Engine:
         other = F.when(F.col("place") == "incoming", F.col("source_id")).when(F.col("place") == "outgoing", F.col("target_id"))
         ends = graph.label(at.where("place <> 'internal'").withColumn("id", other), f["symbols"], f["files"]).select("place", "id", "label").distinct()
         fan = graph.fan_in(edges)
-        ranked = graph.personalized_rank(f["symbols"], f["edges"], "", [])
+        ranked = self.ranking() if ranked is None else ranked
         best = graph.rank_order(ranked, symbols).join(fan, F.col("id") == F.col("target_id"), "left").orderBy(F.desc("relevance"), F.desc("rank"), "path", "start_line", "id")
         inner = graph.label(graph.label(at.where("place = 'internal'"), f["symbols"], f["files"], "source_id").withColumnRenamed("label", "from"), f["symbols"], f["files"], "target_id")
         parts = F.lit("m").alias("m")
@@ -217,14 +233,16 @@ class Engine:
         import hashlib
 
         print_ = hashlib.sha256("\n".join(h[0] if h else "" for h in hashes).encode()).hexdigest()
-        own_paths = [r["path"] for r in files.orderBy("path").select("path").collect()]
-        commits = {r["subject_id"]: r["value"] for r in self.table("metrics").where("name = 'commit_count'").collect()}
-        inside = set(own_paths)
-        names = {r["id"]: r["path"] for r in f["files"].select("id", "path").collect()}
-        co = [
-            {"file": names.get(r["subject_id"], r["subject_id"]), "with": r["name"].removeprefix("co_change:"), "count": int(r["value"])}
-            for r in self.table("metrics").where(F.startswith("name", F.lit("co_change:"))).orderBy("subject_id", "name").collect()
-        ]
+        # only what concerns the module's own files comes here
+        metrics = self.table("metrics")
+        commits = {r["subject_id"]: r["value"] for r in metrics.where("name = 'commit_count'").join(owned, F.col("subject_id") == F.col("id"), "left_semi").collect()}
+        pairs = metrics.where(F.startswith("name", F.lit("co_change:"))).select("subject_id", "value", F.substr("name", F.lit(len("co_change:") + 1)).alias("with"))
+        pairs = pairs.join(f["files"].select(F.col("id").alias("subject_id"), F.col("path").alias("file")), "subject_id", "left")
+        mine = files.select(F.col("path").alias("p"), F.lit(True).alias("mine"))
+        pairs = pairs.withColumn("file", F.coalesce("file", "subject_id")).join(mine, F.col("file") == F.col("p"), "left").drop("p").withColumnRenamed("mine", "a")
+        pairs = pairs.join(mine, F.col("with") == F.col("p"), "left").where("a or mine").orderBy("subject_id", "with")
+        co = [{"file": r["file"], "with": r["with"], "count": int(r["value"])} for r in pairs.collect()]
+        tests = self.table("tests").join(files.select("path"), "path", "left_semi").orderBy("path", "name")
         ev = {
             "symbols": [
                 {"id": r["id"], "name": r["qualified_name"], "kind": r["kind"], "signature": r["signature"], "path": r["path"], "lines": [r["start_line"], r["end_line"]], "fan_in": r["fan_in"] or 0}
@@ -237,8 +255,8 @@ class Engine:
             "incoming": sorted({r["label"] for r in ends.where("place = 'incoming'").collect()}),
             "outgoing": sorted({r["label"] for r in ends.where("place = 'outgoing'").collect()}),
             "files": [{"path": r["path"], "language": r["language"], "lines": r["line_count"], "commits": int(commits.get(r["id"], 0))} for r in files.orderBy("path").collect()],
-            "tests": [{"path": r["path"], "name": r["name"]} for r in self.table("tests").orderBy("path", "name").collect() if r["path"] in inside],
-            "co_changes": [c for c in co if c["file"] in inside or c["with"] in inside],
+            "tests": [{"path": r["path"], "name": r["name"]} for r in tests.collect()],
+            "co_changes": co,
         }
         m = self.table("modules").where(F.col("path") == module_path).first()
         return packing.pack_module({"name": m["name"], "path": m["path"]}, print_, ev, budget, max_symbols, max_edges, self.count)
@@ -251,7 +269,8 @@ class Engine:
         import json
 
         mods = [r for r in self.table("modules").orderBy("path").collect() if module in (None, r["name"], r["path"])]
-        packs = [(m["id"], self.module_pack(m["path"], budget)) for m in mods]
+        ranked = self.ranking() if mods else None
+        packs = [(m["id"], self.module_pack(m["path"], budget, ranked=ranked)) for m in mods]
         last = analysis.latest_summaries(self.store.read("summaries").where((F.col("model") == model.name) & (F.col("prompt_version") == prompt_version)))
         cache = {r["content_hash"]: json.loads(r["content_json"]) for r in last.select("content_hash", "content_json").collect()}
         answers, fresh, counts = analysis.analyse(packs, cache, model, prompt_version, lambda p: json.dumps(p, ensure_ascii=False))

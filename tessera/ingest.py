@@ -72,8 +72,9 @@ def build_facts(spark: SparkSession, root: str, repository: str, occurrences: Da
     tid = schema.file_uri(repo, F.col("target"))
     ev = place(F.col("path"), F.col("start_line"), specifier=F.col("specifier"))
     imported = edge(hit, fid, tid, "IMPORTS", 1.0, "tree", ev)
-    from_test = hit.where(is_test_path(F.col("path")) & ~is_test_path(F.col("target")))
-    tested = edge(from_test, tid, fid, "TESTED_BY", 0.8, "convention", ev)
+    from_test = hit.where(is_test_path(F.col("path")))
+    by = F.to_json(F.struct(F.col("path").alias("testPath"), "specifier"))
+    tested = edge(from_test, tid, fid, "TESTED_BY", 0.8, "convention", by)
 
     modules = find_modules(tracked, repository).withColumn("repository_id", rid)
     owned = resolve.owning_module(files.select("id", "path"), modules).where("module is not null")

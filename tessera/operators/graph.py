@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from tessera.functions.text import words
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: checkpoint in the session's shared folder, or
-    one of its own where none is set."""
+    """Cut the lineage of an iteration: checkpoint in the session's shared folder, or, with
+    a local master alone, in one of its own where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             import tempfile
 
             at = f"{tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}"
@@ -110,7 +113,7 @@ def personalized_rank(symbols: DataFrame, edges: DataFrame, query: str, seeds: l
     """``id, relevance, rank`` after a fixed number of rounds of personalized PageRank.
 
     Distinct edges but CONTAINS between symbols count; what has no way out gives its
-    rank back to the preferences.  Vertices and links are partitioned by id once and kept.
+    rank back to the preferences.
     """
     rel = relevance(symbols, query, seeds)
     total = rel.agg(F.sum("weight")).first()[0] or 1.0
@@ -118,20 +121,25 @@ def personalized_rank(symbols: DataFrame, edges: DataFrame, query: str, seeds: l
     ids = base.select("id")
     links = edges.where("edge_type <> 'CONTAINS'").select("source_id", "target_id").distinct()
     links = links.join(ids, links.source_id == ids.id, "left_semi").join(ids.withColumnRenamed("id", "t"), F.col("target_id") == F.col("t"), "left_semi")
-    degree = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("degree"))
-    vertices = base.join(degree, base.id == degree.source_id, "left").select("id", "relevance", "pref", F.col("degree"))
-    vertices, links = cut(vertices), cut(links)
-    rank = vertices.withColumn("rank", F.col("pref"))
-    for i in range(rounds):
-        lost = rank.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        share = rank.where("degree is not null").select(F.col("id").alias("s"), (F.col("rank") / F.col("degree")).alias("share"))
-        into = links.join(share, links.source_id == F.col("s")).groupBy("target_id").agg(F.sum("share").alias("into"))
-        new = vertices.join(into, vertices.id == into.target_id, "left").crossJoin(F.broadcast(lost))  # one row
-        value = (1 - damping) * F.col("pref") + damping * F.coalesce("into", F.lit(0.0)) + damping * F.col("lost") * F.col("pref")
-        rank = new.select("id", "relevance", "pref", "degree", value.alias("rank"))
-        if i % 4 == 3 or i == rounds - 1:
-            rank = cut(rank)
-    return rank.select("id", "relevance", "rank")
+    out = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("degree")).select(F.col("source_id").alias("s"), (F.lit(damping) / F.col("degree")).alias("part"))
+    links = cut(links.join(out, F.col("source_id") == F.col("s")).select("source_id", "target_id", "part"))
+    # the rank after a round is a sum of powers of the links applied to the preferences, so
+    # a round is one join and one sum; what has no way out only changes the coefficients
+    powers = [cut(base.select("id", F.col("pref").alias("w")))]
+    for _ in range(rounds):
+        step = links.join(powers[-1], F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("id"))
+        powers.append(cut(step.agg(F.sum(F.col("w") * F.col("part")).alias("w"))))
+
+    def each(of: list[DataFrame], factors: list[float]) -> DataFrame:
+        parts = [w.select("id", (F.col("w") * F.lit(x)).alias("w"), F.lit(k).alias("k")) for k, (w, x) in enumerate(zip(of, factors, strict=True))]
+        return reduce(DataFrame.union, parts)
+
+    mass = dict(each(powers, [1.0] * len(powers)).groupBy("k").agg(F.sum("w")).collect())  # a row a round
+    back: list[float] = []  # what a round gives back to the preferences
+    for t in range(rounds):
+        back.append(1.0 - sum(back[t - 1 - k] * mass.get(k + 1, 0.0) for k in range(t)) - mass.get(t + 1, 0.0))
+    total_rank = each(powers, [*reversed(back), 1.0]).groupBy(F.col("id").alias("v")).agg(F.sum("w").alias("rank"))
+    return base.join(total_rank, F.col("id") == F.col("v"), "left").select("id", "relevance", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
 def rank_order(ranked: DataFrame, symbols: DataFrame) -> DataFrame:

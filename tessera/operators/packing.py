@@ -116,15 +116,17 @@ def read_source(root: str, path: str, content_hash: str | None, most: int = 1 <<
     return raw.decode("utf-8", "replace")
 
 
-def pack_context(header: str, candidates: list[dict], edges: list[dict], seeds: set, budget: int = 2000, read=None, count: TokenCounter = count_pieces) -> ContextPack:
+def pack_context(header: str, candidates: list[dict], edges: list[dict], seeds: set, budget: int = 2000, read=None, count: TokenCounter = count_pieces, totals: tuple[int, int] | None = None) -> ContextPack:
     """Fit candidates (best first), their edges and, with ``read(symbol)``, sources.
 
     Seeds get a row first, then sources (largest first), other symbols and edges with
-    both ends in; each stays only if the whole text still fits.  Rows that a source
+    both ends in; each stays only if the whole text still fits.  ``totals`` tells how many
+    symbols and edges there are where not all are given.  Rows that a source
     covers are not shown.  What was left out is told in the text, which itself costs
     tokens: if it no longer fits, edges go first, then symbols, then sources.
     """
     checked_budget(budget)
+    all_symbols, all_edges = totals or (len(candidates), len(edges))
     chosen, links, sources, omitted = [], [], [], []
 
     def covers(entry, s):
@@ -135,7 +137,7 @@ def pack_context(header: str, candidates: list[dict], edges: list[dict], seeds:
         number = {s["id"]: i + 1 for i, s in enumerate(chosen)}
         out = [
             header,
-            f"Budget {budget}; symbols {len(chosen)} of {len(candidates)}; relations {len(links)} of {len(edges)}; sources {len(sources)}; sources left out {len(omitted)}.",
+            f"Budget {budget}; symbols {len(chosen)} of {all_symbols}; relations {len(links)} of {all_edges}; sources {len(sources)}; sources left out {len(omitted)}.",
         ]
         for s in chosen:
             if not any(covers(x, s) for x in sources):
@@ -195,7 +197,7 @@ def pack_context(header: str, candidates: list[dict], edges: list[dict], seeds:
             raise ValueError("the budget can't hold even the header")
     text = render()
     inside = [s["id"] for s in candidates if any(covers(x, s) for x in sources)]
-    return ContextPack(text, count(text), budget, [s["id"] for s in chosen], inside, omitted, len(candidates), len(edges), len(links))
+    return ContextPack(text, count(text), budget, [s["id"] for s in chosen], inside, omitted, all_symbols, all_edges, len(links))
 
 
 def pack_module(module: dict, fingerprint: str, evidence: dict[str, list], budget: int = 6000, max_symbols: int | None = None, max_edges: int | None = None, count: TokenCounter = count_pieces) -> dict:

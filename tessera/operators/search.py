@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.graph import cut
 from tessera.functions.text import cosine, coverage_bonus, index_tokens, query_phrases, symbol_text
 
 #: Column weights of the symbol index, BM25 and fusion constants.
@@ -38,8 +39,9 @@ def bm25(docs: DataFrame, query: str, weights: Mapping[str, float], limit: int |
     """``id, score`` (less is better) of the rows in which every phrase of the query stands.
 
     Statistics (rows, rows with the phrase, mean length) range over all of ``docs``;
-    ``keep`` (a snapshot, say) filters what is returned and never the statistics.  One
-    scan makes both: the one-row statistics are broadcast.  An empty query finds nothing.
+    ``keep`` (a snapshot, say) filters what is returned and never the statistics.  The
+    statistics are one row and broadcast; ``docs`` is read for them and again for the hits.
+    An empty query finds nothing.
     """
     phrases = query_phrases(query)
     if not phrases:
@@ -128,6 +130,7 @@ def hybrid_search(
         near = vector_top_k(points if snapshot_id is None else points.where(F.col("snapshot_id") == F.lit(snapshot_id)), query_vector, candidate_limit)
         near = near.join(live.select("id"), "id", "left_semi")
         lists = lists.union(ranked(near, "vector", True))
+    lists = cut(lists)  # short; without it the searches would run once more for the graph
     lists = lists.union(graph_signal(lists.select("id").distinct(), edges))
     text = symbol_text(F.col("kind"), F.col("qualified_name"), F.col("signature"), F.col("path"))
     hits = fuse(lists).join(live.select("id", "qualified_name", "path", text.alias("text")), "id")

@@ -124,6 +124,30 @@ def import_resolution(t):
     return resolve.resolve_imports(imports, h.select(F.concat(F.lit("src/"), bare, suffix).alias("path")).distinct())
 
 
+_PACKAGES = """d AS (SELECT doc_id, source, lang, 'src/' || source || '/' || lang || '.py' AS path FROM documents),
+f AS (SELECT DISTINCT path FROM d UNION SELECT DISTINCT 'src/' || source || '/__init__.py' FROM d UNION SELECT DISTINCT lang || '.py' FROM d),
+i AS (SELECT DISTINCT path, CASE doc_id % 5 WHEN 0 THEN '.' || lang WHEN 1 THEN source || '.' || lang WHEN 2 THEN '..' || source WHEN 3 THEN lang ELSE '..none.' || lang END AS specifier FROM d)"""
+
+
+@query(
+    "python_imports",
+    f"""WITH {_PACKAGES},
+b AS (SELECT *, 0 AS pos, CASE WHEN starts_with(specifier, '..') THEN 'src/' || replace(substr(specifier, 3), '.', '/')
+    WHEN starts_with(specifier, '.') THEN regexp_extract(path, '^(.*)/', 1) || '/' || replace(substr(specifier, 2), '.', '/') ELSE replace(specifier, '.', '/') END AS base FROM i
+  UNION ALL SELECT *, 1, 'src/' || replace(specifier, '.', '/') FROM i WHERE NOT starts_with(specifier, '.')),
+c AS (SELECT path, specifier, pos * 2 AS pos, base || '.py' AS try FROM b UNION ALL SELECT path, specifier, pos * 2 + 1, base || '/__init__.py' FROM b),
+m AS (SELECT c.path, c.specifier, arg_min(c.try, c.pos) AS target FROM c JOIN f ON f.path = c.try GROUP BY ALL)
+SELECT i.path, i.specifier, m.target FROM i LEFT JOIN m ON m.path = i.path AND m.specifier = i.specifier""",
+)
+def python_imports(t):
+    d = t.documents.select("doc_id", "source", "lang", F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit(".py")).alias("path"))
+    init = F.concat(F.lit("src/"), "source", F.lit("/__init__.py"))
+    have = d.select("path").union(d.select(init)).union(d.select(F.concat("lang", F.lit(".py")))).distinct()
+    kinds = [F.concat(F.lit("."), "lang"), F.concat_ws(".", "source", "lang"), F.concat(F.lit(".."), "source"), F.col("lang"), F.concat(F.lit("..none."), "lang")]
+    spec = F.element_at(F.array(*kinds), (F.col("doc_id") % 5 + 1).cast("int"))
+    return resolve.resolve_python_imports(d.select("path", spec.alias("specifier")).distinct(), have)
+
+
 _SPANS = """span AS (SELECT o_orderkey AS id, o_custkey AS path, o_orderkey AS lo, o_orderkey + o_orderkey % 97 * 10 AS hi,
   o_orderpriority AS qn, CASE WHEN o_orderstatus = 'O' THEN 'function' ELSE 'class' END AS kind FROM orders),
 pt AS (SELECT l_orderkey * 100 + l_linenumber AS point_id, o_custkey AS path, l_orderkey + l_linenumber AS line, min(l_partkey) AS part
@@ -166,6 +190,40 @@ def reference_edges(t):
     return resolve.reference_edges(occ, named)
 
 
+def _occurrences(t) -> DataFrame:
+    """Definitions at the first line of every third span, named after it or, in one of seven, not."""
+    sp = v.spans(t)
+    name = F.when(F.col("id") % 7 == 0, F.lit("Other")).otherwise(F.regexp_replace("qualified_name", r"\.", ""))
+    sym = F.concat(F.lit("x/"), F.col("id").cast("string"), F.lit("#"), name, F.lit("."))
+    return sp.where("id % 3 = 0").select(sym.alias("symbol"), F.lit(True).alias("is_definition"), "path", F.col("start_line").alias("line"), F.col("id").alias("ordinal"), "id")
+
+
+_DEFS = """def AS (SELECT id, to_id FROM (SELECT d.id, s.id AS to_id, row_number() OVER (PARTITION BY d.id ORDER BY s.hi - s.lo, s.lo, s.id) AS n
+  FROM span d JOIN span s ON s.path = d.path AND s.qn = d.qn AND d.lo BETWEEN s.lo AND s.hi WHERE d.id % 3 = 0 AND d.id % 7 <> 0) WHERE n = 1)"""
+
+
+@query(
+    "unmapped_definitions",
+    f"WITH {_SPANS}, {_DEFS} SELECT count(*)::BIGINT AS unmapped_definitions FROM span d WHERE d.id % 3 = 0 AND d.id NOT IN (SELECT id FROM def)",
+)
+def unmapped_definitions(t):
+    return resolve.unmapped_definitions(_occurrences(t).drop("id"), v.spans(t).withColumn("qualified_name", F.regexp_replace("qualified_name", r"\.", "")))
+
+
+@query(
+    "relationship_edges",
+    f"""WITH {_SPANS}, {_DEFS}, rel AS (SELECT o_orderkey AS a, o_orderkey + 3 * (o_custkey % 5 + 1) AS b FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 4 < 3)
+SELECT DISTINCT x.to_id AS source_id, y.to_id AS target_id, CASE WHEN s.kind = 'class' AND u.kind = 'class' THEN 'EXTENDS' ELSE 'IMPLEMENTS' END AS edge_type, 0.95::DOUBLE AS confidence, 'scip' AS analyzer
+FROM rel JOIN def x ON x.id = a JOIN def y ON y.id = b JOIN span s ON s.id = x.to_id JOIN span u ON u.id = y.to_id""",
+)
+def relationship_edges(t):
+    occ = _occurrences(t)
+    o = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 3 * (F.col("o_custkey") % 5 + 1)).alias("b"), (F.col("o_custkey") % 4 < 3).alias("is_implementation"))
+    ends = occ.select("id", "symbol")
+    rel = o.join(ends.toDF("a", "source"), "a").join(ends.toDF("b", "target"), "b").select("source", "target", "is_implementation")
+    return resolve.relationship_edges(rel, occ.drop("id"), v.spans(t).withColumn("qualified_name", F.regexp_replace("qualified_name", r"\.", "")))
+
+
 @query(
     "source_containment",
     """WITH s AS (SELECT event_id AS id, user_id AS path, event_id AS lo, event_id + (event_id * 7919) % 4001 AS hi FROM events)
@@ -195,7 +253,7 @@ def snapshot_diff_removed(t):
 @query(
     "affected_modules",
     f"""WITH {v.PREV_CUR}, {v.FILES},
-ch AS (SELECT c.id FROM cur c LEFT JOIN prev p ON p.id = c.id WHERE (p.id IS NULL OR p.content_hash <> c.content_hash) AND c.id % 13 = 0),
+ch AS (SELECT c.id FROM cur c LEFT JOIN prev p ON p.id = c.id WHERE (p.id IS NULL OR p.content_hash <> c.content_hash)),
 f AS (SELECT id, path, CASE WHEN md5(source || '/' || lang) < '8' THEN source || '/' || lang ELSE source END AS module FROM file),
 imp AS (SELECT DISTINCT doc_id AS source_id, (doc_id * 31 + 7) % 997 AS target_id FROM documents),
 x AS (SELECT module, 'changed' AS reason FROM f SEMI JOIN ch ON ch.id = f.id
@@ -203,7 +261,7 @@ x AS (SELECT module, 'changed' AS reason FROM f SEMI JOIN ch ON ch.id = f.id
 SELECT module, min(reason) AS reason FROM x GROUP BY module""",
 )
 def affected_modules(t):
-    ch = resolve.changed(v.previous(t), v.current(t)).where("id % 13 = 0").select("id")
+    ch = resolve.changed(v.previous(t), v.current(t)).select("id")
     f = v.files(t).select("id", "path")
     d = t.documents
     deep = d.select(F.concat_ws("/", "source", "lang").alias("path")).where(F.md5("path") < "8")
@@ -239,7 +297,7 @@ def symbol_neighbourhood(t):
 @query(
     "induced_subgraph",
     f"""WITH {v.edges_sql()}, seed AS (SELECT p_partkey AS id FROM part WHERE p_partkey < 5),
-sc AS (SELECT id FROM seed UNION SELECT target_id FROM edge WHERE edge_type <> 'CONTAINS' AND source_id IN (FROM seed)
+sc AS MATERIALIZED (SELECT id FROM seed UNION SELECT target_id FROM edge WHERE edge_type <> 'CONTAINS' AND source_id IN (FROM seed)
   UNION SELECT source_id FROM edge WHERE edge_type <> 'CONTAINS' AND target_id IN (FROM seed))
 SELECT source_id, target_id, edge_type, {_CONF}::DOUBLE AS confidence FROM edge WHERE edge_type <> 'CONTAINS' AND source_id IN (FROM sc) AND target_id IN (FROM sc)""",
 )
@@ -258,13 +316,13 @@ def callers_by_depth(t):
     return graph.callers_by_depth(v.edges(t), t.part.where("p_partkey = 3").select("p_partkey"), 3)
 
 
-def _ppr_sql() -> str:
+def _ppr_sql(last: str) -> str:
     rounds = []
     for i in range(20):
         rounds.append(f"""
 r{i + 1} AS MATERIALIZED (SELECT p.id, 0.15 * pref + 0.85 * coalesce(x.v, 0) + 0.85 * pref * coalesce((SELECT sum(r) FROM r{i} JOIN pref USING (id) WHERE deg IS NULL), 0) AS r
   FROM pref p LEFT JOIN (SELECT target_id, sum(r / deg) AS v FROM link JOIN r{i} ON r{i}.id = source_id JOIN pref q ON q.id = source_id GROUP BY target_id) x ON x.target_id = p.id)""")
-    return f"""WITH {v.SYMBOLS}, {v.edges_sql(40)},
+    return f"""WITH {v.SYMBOLS}, {v.edges_sql()},
 link AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM edge WHERE edge_type <> 'CONTAINS'),
 rel AS (SELECT id, kind, (20 * (id IN (3, 5))::INT + 10 * (lower(qn) = 'red widget')::INT
   + len(list_intersect(list_filter(regexp_split_to_array(lower(qn), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ['red', 'widget'])))::INT AS relevance FROM sym),
@@ -272,12 +330,37 @@ w AS (SELECT id, relevance, 1.0 + 10.0 * relevance + 2.0 * (kind = 'endpoint')::
 pref AS MATERIALIZED (SELECT w.id, relevance, w / (SELECT sum(w) FROM w) AS pref, deg
   FROM w LEFT JOIN (SELECT source_id, count(*) AS deg FROM link GROUP BY source_id) d ON d.source_id = w.id),
 r0 AS MATERIALIZED (SELECT id, pref AS r FROM pref), {",".join(rounds)}
-SELECT id, relevance, round(r, 9) AS rank FROM r20 JOIN pref USING (id)"""
+{last}"""
 
 
-@query("personalized_rank", _ppr_sql())
+@query("personalized_rank", _ppr_sql("SELECT id, relevance, round(r, 9) AS rank FROM r20 JOIN pref USING (id)"))
 def personalized_rank(t):
-    return graph.personalized_rank(v.symbols(t), v.edges(t, 40), "red widget", [3, 5]).withColumn("rank", F.round("rank", 9))
+    return graph.personalized_rank(v.symbols(t), v.edges(t), "red widget", [3, 5]).withColumn("rank", F.round("rank", 9))
+
+
+@query(
+    "auto_seeds",
+    _ppr_sql(
+        """, top AS MATERIALIZED (SELECT id FROM r20 JOIN pref USING (id) JOIN sym USING (id) ORDER BY relevance DESC, r DESC, path, start_line, id LIMIT 3)
+SELECT id, true AS seed FROM top UNION SELECT target_id, false FROM edge WHERE edge_type <> 'CONTAINS' AND source_id IN (FROM top) AND target_id NOT IN (FROM top)
+UNION SELECT source_id, false FROM edge WHERE edge_type <> 'CONTAINS' AND target_id IN (FROM top) AND source_id NOT IN (FROM top)"""
+    ),
+)
+def auto_seeds(t):
+    e, s = v.edges(t), v.symbols(t)
+    best = graph.rank_order(graph.personalized_rank(s, e, "red widget", [3, 5]), s).limit(3).select("id")
+    top = graph.cut(best)
+    return graph.expand(e, top).join(top.withColumn("seed", F.lit(True)), "id", "left").select("id", F.coalesce("seed", F.lit(False)).alias("seed"))
+
+
+@query(
+    "edge_labels",
+    f"""WITH {v.SYMBOLS}, {v.FILES}, i AS (SELECT DISTINCT o_custkey + o_orderkey % 5000 AS id FROM orders)
+SELECT i.id, coalesce(sym.qn, file.path, i.id::VARCHAR) AS label FROM i LEFT JOIN sym ON sym.id = i.id LEFT JOIN file ON file.id = i.id""",
+)
+def edge_labels(t):
+    ids = t.orders.select((F.col("o_custkey") + F.col("o_orderkey") % 5000).alias("id")).distinct()
+    return graph.label(ids, v.symbols(t), v.files(t).select("id", "path"))
 
 
 @query(
@@ -311,6 +394,17 @@ def file_history(t):
     return history.file_history(g.select("path", "author", at.alias("at"), pos.alias("position")))
 
 
+@query(
+    "first_and_last_events",
+    """SELECT user_id, 'first' AS which, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id
+UNION ALL SELECT user_id, 'last', arg_max(event_type, event_id), max(event_id) FROM events GROUP BY user_id""",
+)
+def first_and_last_events(t):
+    e = t.events.select("user_id", "event_type", "event_id")
+    ends = [history.keep_first(e, ["user_id"], "event_id", last=last).withColumn("which", F.lit("last" if last else "first")) for last in (False, True)]
+    return ends[0].union(ends[1]).select("user_id", "which", "event_type", "event_id")
+
+
 @query(
     "co_change_pairs",
     """WITH c AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS f FROM lineitem),
@@ -441,8 +535,8 @@ def federated_search(t):
 # --- policies -----------------------------------------------------------------------------
 
 
-def _facts(t, least: float):
-    e = v.edges(t, least).withColumn("edge_type", F.when(F.col("edge_type") == "CONTAINS", "IMPORTS").otherwise(F.col("edge_type")))
+def _facts(t):
+    e = v.edges(t).withColumn("edge_type", F.when(F.col("edge_type") == "CONTAINS", "IMPORTS").otherwise(F.col("edge_type")))
     s = v.symbols(t)
     e = e.withColumn("evidence_json", F.to_json(F.struct(F.concat(F.lit("p"), F.col("source_id").cast("string")).alias("path"), F.lit(1).alias("line"))))
     return {"edges": e, "symbols": s, "owners": s.select("id", "module")}
@@ -450,13 +544,13 @@ def _facts(t, least: float):
 
 @query(
     "module_cycles",
-    f"""WITH {v.SYMBOLS}, {v.edges_sql(48)},
+    f"""WITH {v.SYMBOLS}, {v.edges_sql()},
 m AS (SELECT a.module AS f, b.module AS t, min((source_id, target_id)) AS e FROM edge JOIN sym a ON a.id = source_id JOIN sym b ON b.id = target_id
   WHERE edge_type = 'CONTAINS' AND a.module <> b.module GROUP BY ALL)
 SELECT x.f || ' <-> ' || x.t AS subject, 'p' || x.e[1] AS first_path, 'p' || y.e[1] AS back_path FROM m x JOIN m y ON x.f = y.t AND x.t = y.f WHERE x.f < x.t""".replace("x.e[1]", "struct_extract(x.e, 1)").replace("y.e[1]", "struct_extract(y.e, 1)"),
 )
 def module_cycles(t):
-    c = policy.module_cycle(_facts(t, 48), {})
+    c = policy.module_cycle(_facts(t), {})
     return c.select("subject", F.col("evidence")[0]["path"].alias("first_path"), F.col("evidence")[1]["path"].alias("back_path"))
 
 
@@ -549,6 +643,21 @@ def summary_cache_latest(t):
     return analysis.latest_summaries(s).select("subject_id", "level", F.col("created_at").alias("id"), "content_json")
 
 
+@query(
+    "cached_work",
+    """WITH w AS (SELECT conv_id, turn % 3 AS h FROM conversations GROUP BY ALL),
+s AS (SELECT conv_id, turn % 3 AS h, max((turn, text)) AS last FROM conversations WHERE role <> 'system' AND conv_id % 4 <> 0 GROUP BY ALL)
+SELECT w.conv_id AS subject_id, w.h::VARCHAR AS content_hash, s.conv_id IS NOT NULL AS hit, struct_extract(s.last, 2) AS content_json FROM w LEFT JOIN s ON s.conv_id = w.conv_id AND s.h = w.h""",
+)
+def cached_work(t):
+    c = t.conversations
+    key = [F.col("conv_id").alias("subject_id"), F.lit("module").alias("level"), (F.col("turn") % 3).cast("string").alias("content_hash"), F.lit("1").alias("prompt_version"), F.lit("m").alias("model")]
+    done = c.where("role <> 'system' and conv_id % 4 <> 0").select(*key, F.col("text").alias("content_json"), F.col("turn").alias("created_at"), F.col("text").alias("id"), F.lit("s").alias("snapshot_id"))
+    hits, misses = analysis.work_list(c.select(*key).distinct(), done)
+    out = hits.select("subject_id", "content_hash", F.lit(True).alias("hit"), "content_json")
+    return out.union(misses.select("subject_id", "content_hash", F.lit(False), F.lit(None).cast("string")))
+
+
 @query(
     "evidence_fingerprint",
     f"""WITH {v.FILES} SELECT source || '/' || lang AS module,

@@ -44,9 +44,9 @@ def symbols(t: Tables) -> DataFrame:
     )
 
 
-def edges(t: Tables, least_quantity: float = 0.0) -> DataFrame:
-    """One edge for each ordered pair of parts in an order; ``least_quantity`` thins it out."""
-    li = t.lineitem.where(F.col("l_quantity") >= least_quantity) if least_quantity else t.lineitem
+def edges(t: Tables) -> DataFrame:
+    """One edge for each ordered pair of parts in an order."""
+    li = t.lineitem
     a = li.select("l_orderkey", F.col("l_partkey").alias("source_id"), F.col("l_linenumber").alias("n1"), "l_returnflag")
     b = li.select("l_orderkey", F.col("l_partkey").alias("target_id"), F.col("l_linenumber").alias("n2"))
     e = a.join(b, "l_orderkey").where("n1 < n2 and source_id <> target_id")
@@ -93,12 +93,11 @@ sym AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS path, p_name AS qn,
   'size ' || p_size AS sig, p_size AS start_line, p_brand AS module FROM part)"""
 
 
-def edges_sql(least_quantity: float = 0.0) -> str:
-    keep = f" AND a.l_quantity >= {least_quantity} AND b.l_quantity >= {least_quantity}" if least_quantity else ""
-    return f"""
-edge AS (SELECT DISTINCT a.l_partkey AS source_id, b.l_partkey AS target_id,
+def edges_sql() -> str:
+    return """
+edge AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS source_id, b.l_partkey AS target_id,
   CASE a.l_returnflag WHEN 'A' THEN 'CALLS' WHEN 'R' THEN 'DEPENDS_ON' ELSE 'CONTAINS' END AS edge_type
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey{keep})"""
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey)"""
 
 
 FILES = """

@@ -16,7 +16,8 @@ from tessera.operators import resolve
 def follow(store: Store, checkpoint: str, on_diff: Callable[[str, str | None, DataFrame, DataFrame], None], once: bool = True) -> StreamingQuery:
     """Call ``on_diff(snapshot, previous, changed, removed)`` for each new snapshot.
 
-    The snapshots table is the stream: its rows are written after their facts.  A batch
+    The snapshots table is the stream: its rows are written after their facts.  The one
+    before is that of the same repository.  A batch
     is handled in order of creation; after a failure it comes again, so ``on_diff``
     should write by snapshot id.
     """
@@ -24,10 +25,13 @@ def follow(store: Store, checkpoint: str, on_diff: Callable[[str, str | None, Da
 
     def each(batch: DataFrame, _: int) -> None:
         order = ["created_at", "id"]
-        known = [r["id"] for r in store.read("snapshots").orderBy(*order).select("id").collect()]  # one row a scan
-        for r in batch.orderBy(*order).select("id").collect():
-            at = known.index(r["id"])
-            prev = known[at - 1] if at else None
+        known: dict[str, list[str]] = {}
+        for r in store.read("snapshots").orderBy(*order).select("id", "repository_id").collect():  # one row a scan
+            known.setdefault(r["repository_id"], []).append(r["id"])
+        for r in batch.orderBy(*order).select("id", "repository_id").collect():
+            own = known[r["repository_id"]]
+            at = own.index(r["id"])
+            prev = own[at - 1] if at else None
             cur = store.read("symbols", r["id"])
             old = store.read("symbols", prev) if prev else cur.where(F.lit(False))
             on_diff(r["id"], prev, resolve.changed(old, cur), resolve.removed(old, cur))

@@ -17,7 +17,7 @@ def make(spark, seed, n=25, m=70):
 
 
 def plain_rank(symbols, edges, query, seeds):
-    words = {w.lower() for w in ("load", "user")} if query else set()
+    words = {w.lower() for w in query.split()}
     rel = {}
     for s in symbols:
         own = set(s[1].replace("U", " U").lower().split())
