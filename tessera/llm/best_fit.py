@@ -35,11 +35,10 @@ class Encoder:
     def __init__(self, path: str, keep: int = 400_000):
         import tiktoken
         import unicodedata
-        from tokenizers import Tokenizer
 
         model = json.load(open(path, encoding="utf-8"))
         special = {x["content"] for x in model["added_tokens"]}
-        self.added, self.whole = sorted(special), Tokenizer.from_file(path)
+        self.added, self.path, self.library = sorted(special), path, None
         # the public byte alphabet of byte-level BPE: printable bytes stand for themselves
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -80,11 +79,18 @@ class Encoder:
         parts = dict(zip(plain, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if plain else {}
 
         def rest(i: int, t: str) -> list[int]:
-            return self.whole.encode(t, add_special_tokens=False).ids if i in added else self.bpe.encode_ordinary(t)
+            return self._whole(t) if i in added else self.bpe.encode_ordinary(t)
 
         out = [parts[i] if i in parts else np.array(rest(i, t), np.uint32) for i, t in enumerate(texts)]
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
+    def _whole(self, text: str) -> list[int]:
+        if self.library is None:  # few texts need it, and it takes memory
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in texts], np.int64)
         whole = "".join(texts)
@@ -137,6 +143,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
 
     Null text is empty; every document ends with ``end_id``, so none has no piece.
     A document of more than ``size`` ids is cut so that all pieces but the first are full.
+    A document, of any length, is encoded whole by one task; an empty table gives an empty
+    one; repeated rows are documents of their own.  Columns other than id and text are left
+    out, whatever their names.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
@@ -285,9 +294,14 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the rows of ``token_pieces``.
 
     Repeated rows are pieces of their own.  The rank of a piece among those of its
-    length follows a hash of its id, then id, piece and checksum.
+    length follows a hash of its id, then id, piece and checksum.  An empty table gives an
+    empty one; other columns stay as they are, whatever their names.
     """
     spark = pieces.sparkSession
+    extra = [c for c in pieces.columns if c not in ("doc_id", "piece", "length", "ids_crc32", "sequence_id", "offset")]
+    names, pieces = [c for c in pieces.columns if c not in ("sequence_id", "offset")], pieces.select(
+        "doc_id", "piece", "length", "ids_crc32", F.struct(*[F.col(f"`{c}`") for c in extra], F.lit(0).alias("__none")).alias("__extra")
+    )
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     rows = intervals(plan(counts, size)) or [(0, 0, 0, 0, 0)]
     places = spark.createDataFrame(rows, "__len long, __lo long, __hi long, __seq long, offset long")
@@ -298,7 +312,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     hit = ranked.join(
         F.broadcast(places), (F.col("length") == F.col("__len")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
     )
-    return hit.withColumn("sequence_id", F.col("__seq") + F.col("__rank") - F.col("__lo")).drop("__bucket", "__rank", "__len", "__lo", "__hi", "__seq")
+    kept = [F.col("__extra").getField(c).alias(c) if c in extra else F.col(c) for c in names]
+    return hit.select(*kept, (F.col("__seq") + F.col("__rank") - F.col("__lo")).alias("sequence_id"), "offset")
 
 
 def default_tokenizer() -> str:
