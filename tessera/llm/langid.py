@@ -18,19 +18,68 @@ from pyspark.sql.window import Window
 from .common import ranges, text_chunks
 
 _TRI, _PENTA = 1 << 16, 1 << 18
-#: First bytes of UTF-8 by script: 0 Latin and other, 1 Greek, 2 Cyrillic,
-#: 3 Hebrew, 4 Arabic, 5 Indic, 6 South-East Asian, 7 kana and CJK, 8 Hangul.
-_SCRIPT_LEADS = {1: (0xCE, 0xCF), 2: (0xD0, 0xD4), 3: (0xD6, 0xD7), 4: (0xD8, 0xDB), 5: (0xE0, 0xE0), 6: (0xE1, 0xE1), 7: (0xE3, 0xE9), 8: (0xEA, 0xED)}
+#: Code points of scripts (blocks of the Unicode standard); what is in none
+#: of them is no letter of a script and says nothing about a language.
+SCRIPTS = {
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)],
+    "Hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)],
+    "Syriac": [(0x700, 0x74F)],
+    "Thaana": [(0x780, 0x7BF)],
+    "Devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    "Bengali": [(0x980, 0x9FF)],
+    "Gurmukhi": [(0xA00, 0xA7F)],
+    "Gujarati": [(0xA80, 0xAFF)],
+    "Oriya": [(0xB00, 0xB7F)],
+    "Tamil": [(0xB80, 0xBFF)],
+    "Telugu": [(0xC00, 0xC7F)],
+    "Kannada": [(0xC80, 0xCFF)],
+    "Malayalam": [(0xD00, 0xD7F)],
+    "Sinhala": [(0xD80, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)],
+    "Lao": [(0xE80, 0xEFF)],
+    "Tibetan": [(0xF00, 0xFFF)],
+    "Myanmar": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "Ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)],
+    "Cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Mongolian": [(0x1800, 0x18AF)],
+    "Kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "Han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+}
+_RANGES = sorted((lo, hi, i + 1) for i, parts in enumerate(SCRIPTS.values()) for lo, hi in parts)
+_LOW, _HIGH, _WHICH = (np.array(x) for x in zip(*_RANGES, strict=True))
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[:65], _FOLD[91:97], _FOLD[123:128] = 32, 32, 32
-_SCRIPT = np.zeros(256, np.uint8)
-for _k, (_a, _b) in _SCRIPT_LEADS.items():
-    _SCRIPT[_a : _b + 1] = _k
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[0xC0:] = True  # the first byte of a longer character
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[97:123] = 1
+
+
+def script_of(points: np.ndarray) -> np.ndarray:
+    """The number of each code point's script, 0 for none."""
+    i = np.maximum(np.searchsorted(_LOW, points, "right") - 1, 0)
+    return np.where((points >= _LOW[i]) & (points <= _HIGH[i]), _WHICH[i], 0).astype(np.uint8)
+
+
+def scripts_of(data: np.ndarray, folded: np.ndarray) -> np.ndarray:
+    """The script of the character that starts at each byte of UTF-8, 0 within one."""
+    out = _ASCII[folded]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        more = [data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) & 63 for i in (1, 2, 3)]
+        two = (first & 31) << 6 | more[0]
+        three = (first & 15) << 12 | more[0] << 6 | more[1]
+        four = (first & 7) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+        out[lead] = script_of(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)))
+    return out
 
 
 @dataclass
@@ -60,8 +109,9 @@ def words_of(data: np.ndarray, to: np.ndarray) -> Words:
     tri = ((p[1:-3] << 16 | p[2:-2] << 8 | p[3:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     wide = (p[:-4].astype(np.uint64) << np.uint64(32)) | (p[1:-3] << 24 | p[2:-2] << 16 | p[3:-1] << 8 | p[4:])
     penta = ((wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.uint32)
-    letters = np.concatenate([[0], np.cumsum(_LETTER[d])])
-    script = np.maximum.reduceat(_SCRIPT[d], s) if len(s) else np.empty(0, np.uint8)
+    own = scripts_of(data, d)
+    letters = np.concatenate([[0], np.cumsum(own > 0)])
+    script = np.maximum.reduceat(own, s) if len(s) else np.empty(0, np.uint8)
     return Words(s, e, np.searchsorted(to, s, "right") - 1, tri, penta, letters[e] - letters[s], script)
 
 
@@ -70,7 +120,7 @@ class Model:
     langs: list[str]
     tri: np.ndarray  # [code, language] log probabilities
     penta: np.ndarray
-    scripts: np.ndarray  # [script, language] may it occur
+    scripts: np.ndarray  # [script, language] may it occur; none (0) may in all
     switch: float = 10.0
     most: float = 12.0  # of a single word's lead
 
@@ -93,7 +143,7 @@ def train(texts: list[tuple[str, str]], **how) -> Model:
 
     langs = sorted({lang for _, lang in texts})
     tri, penta = np.full((_TRI, len(langs)), 0.5), np.full((_PENTA, len(langs)), 0.2)
-    scripts = np.zeros((9, len(langs)))
+    scripts = np.zeros((len(SCRIPTS) + 1, len(langs)))
     for k, lang in enumerate(langs):
         table = pa.table({"text": pa.array([t for t, x in texts if x == lang], pa.large_string())})
         for _, _, data, to in text_chunks(table):
@@ -101,9 +151,11 @@ def train(texts: list[tuple[str, str]], **how) -> Model:
             inside = ranges(w.start, w.end - w.start)
             tri[:, k] += np.bincount(w.tri[inside], minlength=_TRI)
             penta[:, k] += np.bincount(w.penta[inside], minlength=_PENTA)
-            scripts[:, k] += np.bincount(w.script, minlength=9)
+            scripts[:, k] += np.bincount(w.script, minlength=len(scripts))
     norm = [np.log(x / x.sum(0)).astype(np.float32) for x in (tri, penta)]
-    return Model(langs, norm[0], norm[1], scripts >= np.maximum(1, 0.001 * scripts.sum(0)), **how)
+    may = scripts >= np.maximum(1, 0.001 * scripts.sum(0))
+    may[0] = True
+    return Model(langs, norm[0], norm[1], may, **how)
 
 
 def label(model: Model, s: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -190,7 +242,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``lang_pred`` is the label with most letters, ``score`` its share of the letters
     times its posterior for the whole text.  Spans are (first word, words, language).
     Text that is null or has no letters is ``und`` with score 0, and so is all text if
-    no language was learned.  Columns with the names of results are replaced.
+    no language was learned.  Columns with the names of results are replaced.  Of equal
+    shares the first language by name counts.  Repeated rows get the same label each; a
+    text, of any length, is labelled whole by one task; an empty table gives an empty one.
     """
     extra = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     langs = model.langs

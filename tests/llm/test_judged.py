@@ -56,6 +56,24 @@ def test_training_sample_is_never_empty(spark, monkeypatch):
     assert len(some) == 10 and max(len(x[0]) for x in some) == 1000
 
 
+def test_scripts_go_by_code_points():
+    import unicodedata
+
+    import numpy as np
+
+    names = [None, *langid.SCRIPTS]
+    words = {"Việt ề": "Latin", "ไทย": "Thai", "ქართ": "Georgian", "አማ": "Ethiopic", "हिन": "Devanagari", "தமி": "Tamil", "Ελλ": "Greek", "рус": "Cyrillic", "日本": "Han", "かな": "Kana", "한국": "Hangul", "עבר": "Hebrew", "عرب": "Arabic", "𠀀": "Han"}
+    for text, want in words.items():
+        data = np.frombuffer(text.lower().encode() + b"\n", np.uint8)
+        w = langid.words_of(data, np.array([0, len(data)]))
+        assert {names[i] for i in w.script} == {want}, text
+        assert w.letters.sum() == len(text.replace(" ", ""))
+    data = np.frombuffer("“—🙂×\n".encode(), np.uint8)
+    w = langid.words_of(data, np.array([0, len(data)]))
+    assert not w.letters.any() and not w.script.any()
+    assert all(names[int(langid.script_of(np.array([i]))[0])] in (None, "Latin") for i in range(0x250) if unicodedata.category(chr(i))[0] == "L")
+
+
 def test_spans_of_mixed_text(spark):
     rng = random.Random(2)
     model = langid.fit(labelled(spark, rng))
