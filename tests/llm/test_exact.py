@@ -63,7 +63,7 @@ def test_lines(docs_of, clashing):
 # --- 2 ------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
+def test_top_k(spark, clashing):
     rng = random.Random(5)
     vec = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     vec += [(1000, vec[0][1]), (1001, vec[0][1]), (1002, None), (1003, [1.0, None] + [0.0] * 4), (1004, [float("nan")] * 6), (1005, [float("inf")] * 6), (1006, [0.0] * 6)]
@@ -77,11 +77,25 @@ def test_top_k(spark):
         want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
     got = exact_topk.top_k(df.union(df.limit(3)), df.where("vec_id % 100 = 0"), 7, shard_rows=50, block_rows=2)
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    assert rows(exact_topk.top_k(clashing(df), df.where("vec_id % 100 = 0"), 7, shard_rows=50, sample_rows=60), "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    mixed = df.union(spark.createDataFrame([(2000 + i, [float(i), 1.0]) for i in range(30)], df.schema))
+    got = exact_topk.top_k(mixed, mixed.where("vec_id in (100, 2003)"), 7, shard_rows=20)
+    assert rows(got.where("query_id = 100"), "query_id", "rank", "vec_id", "score") == sorted([x for x in want if x[0] == 100], key=str)
+    assert rows(got.where("query_id = 2003"), "rank", "vec_id") == [(i + 1, 2029 - i) for i in range(7)]
     few = df.where("vec_id in (0, 3)")
     assert rows(exact_topk.top_k(few, few.where("vec_id = 0")), "query_id", "rank", "vec_id") == [(0, 1, 3)]
     assert exact_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_queries_go_only_where_a_root_box_reaches(spark):
+    boxes = [(2, i, [float(10 * i), 0.0], [10.0 * i + 5, 1.0]) for i in range(3000)]
+    b = spark.createDataFrame(boxes, "dim int, shard long, lo array<double>, hi array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 2, 0, 2990 * 10 * 1024.0, 2995), (2, [-1.0, 0.0], 2, 1, None, 5), (3, [1.0], 1, 0, 0.0, 5)], "id long, v array<double>, dim int, block int, kth double, shard long")
+    got = exact_topk.reached(q, b)
+    assert [r["shard"] for r in got.where("id = 1").orderBy("shard").collect()] == [2990, *range(2991, 2995), *range(2996, 3000)]
+    assert got.where("id = 2").count() == 2999 and got.where("id = 3").count() == 0
+
+
 # --- 4 ------------------------------------------------------------------------------------
 
 
