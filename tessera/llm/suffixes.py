@@ -116,7 +116,7 @@ def grams_at(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
 def _cut(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = key[order]
     edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
-    return edge, np.append(edge[1:], len(v))
+    return edge, np.append(edge[1:], len(v))[: len(edge)]  # a block may have none
 
 
 def _values(table) -> np.ndarray:

@@ -191,7 +191,7 @@ def repeated_words(docs: DataFrame, k: int = 13, m: int = 3, id_col: str = "doc_
         order = np.argsort(bucket, kind="stable")
         strings = b.packed(order, k)
         edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.empty(0, np.int64)
-        stop = np.append(edge[1:], len(order))
+        stop = np.append(edge[1:], len(order))[: len(edge)]  # a block may have no window
         payload = []
         for a, z in zip(edge.tolist(), stop.tolist(), strict=True):
             w = order[a:z]

@@ -429,3 +429,43 @@ def test_bytes(docs_of, gram):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(data, 40)
     assert all(sha(bytes(r["kept"])) == r["kept_sha256"] for r in got.collect())
     assert suffixes.repeated_bytes(docs_of([])).count() == 0
+
+
+# --- all ----------------------------------------------------------------------------------
+
+
+def test_other_columns_change_nothing(docs_of, clashing):
+    same = " ".join(f"word{i}" for i in range(90))
+    data = [(1, same), (2, f"{same} end"), (3, None), (4, ""), (2, "again"), (None, same)]
+    inner = ("__bucket", "__rank", "__len", "__seq", "__g", "__b", "__r", "__o", "bucket", "size", "n_words", "kept", "piece", "at", "n", "f1", "component_id", "sequence_id", "offset", "length")
+    plain = docs_of(data)
+    odd = clashing(plain).withColumns({c: F.lit("x") for c in inner})
+
+    def packed(df):
+        pieces = best_fit.token_pieces(df, best_fit.default_tokenizer())
+        return best_fit.pack(pieces)
+
+    for f in (superkmers.repeated_words, part_enum.near_duplicates, suffixes.repeated_bytes, packed, lambda d: sharding.shard_documents(d, sharding.topology(4))):
+        a = f(plain)
+        assert rows(f(odd), *a.columns) == rows(a, *a.columns)
+    pieces = best_fit.token_pieces(plain, best_fit.default_tokenizer())
+    wide = best_fit.pack(pieces.withColumns({c: F.lit("x") for c in ("__bucket", "__rank", "__len", "__lo", "__seq", "__g", "__b", "offset")}))
+    assert set(pieces.columns) | {"__bucket", "__rank", "__seq", "offset", "sequence_id"} <= set(wide.columns)
+    assert rows(wide, *pieces.columns, "sequence_id", "offset") == rows(best_fit.pack(pieces), *pieces.columns, "sequence_id", "offset")
+
+
+def test_very_long_texts(docs_of):
+    words = [f"w{i * 7919 % 100003}" for i in range(60_000)]
+    data = [(1, " ".join(words)), (2, " ".join(words[30_000:])), (3, " ".join(words[:59_000])), (4, "x" * 300_000), (5, "x" * 299_999), (6, "short")]
+    got = superkmers.repeated_words(docs_of(data), block_bytes=100_000)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(data, 13)
+    assert rows(part_enum.near_duplicates(docs_of(data), block_bytes=100_000), "doc_id", "n_shingles", "component_id") == brute_groups(data)
+    assert rows(line_dedup.line_dedup(docs_of(data)).withColumn("s", F.sha2("text", 256)), "doc_id", "n_lines", "n_dropped", "s") == brute_lines(data)
+    few = [(1, data[0][1][:60_000]), (2, data[0][1][20_000:90_000]), (3, "x" * 20_000), (4, "é" * 20_000)]
+    got = suffixes.repeated_bytes(docs_of(few), block_bytes=10_000)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(few, 400)
+    sizes = {r["doc_id"]: r["n"] for r in best_fit.token_pieces(docs_of(data), best_fit.default_tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(best_fit.default_tokenizer())
+    assert sizes == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in data}
