@@ -195,6 +195,129 @@ def test_leaks_read_the_documents_once(spark, tmp_path):
     assert got == {(1, 1), (2, 3)} and dict(seen)["aligned"] == 1
 
 
+def brute_leaks(docs, items, window=13, least=5):
+    """(document, item) -> figures, by comparing every window with every window."""
+    import regex
+
+    def tokens(t):
+        t = regex.sub("[\x01-\x04]", " ", t)
+        t = regex.sub(r"(\p{N})[.,](\p{N})", r"\1\2", t)
+        t = regex.sub(r"([^.!?:\s]\s+)(\p{Lu})", "\\1\x01\\2", t)
+        t = regex.sub(r"(?<![\p{L}\p{N}\x01])(\p{Lu})", "\x04\\1", t)
+        return [x for x in regex.split("[^\\p{L}\\p{N}\x01-\x04]+", t.lower()) if x]
+
+    def bare(t):
+        return t.lstrip("\x01\x04")
+
+    def word(t):
+        return "\x01" if t[0] == "\x01" else "\x03" if bare(t) in decontaminate.UNITS else regex.sub(r"\p{N}+", "\x02", bare(t))
+
+    def readings(tok):
+        a = [word(t) for t in tok]
+        return a, ["\x01" if t[0] == "\x04" else x for t, x in zip(tok, a, strict=True)], [bare(t) for t in tok]
+
+    out = {}
+    for d, text in docs:
+        dt = tokens(text or "")
+        dr = readings(dt)
+        for i, item in items:
+            it = tokens(item or "")
+            if not it or d is None or i is None:
+                continue
+            ir, w = readings(it), min(len(it), window)
+            found = {}
+            for p in range(len(dt) - w + 1):
+                have = {tuple(x[p : p + w]) for x in dr}
+                for q in range(len(it) - w + 1):
+                    for k, x in enumerate(ir):
+                        if tuple(x[q : q + w]) in have and (k == 2 or sum(t not in ("\x01", "\x02", "\x03") for t in x[q : q + w]) >= least):
+                            found.setdefault(p - q, [set(), set()])[1].add(q)
+                            if k == 0:
+                                found[p - q][0].add(q)
+            for shift, ways in found.items():
+                for every, qs in enumerate(ways):
+                    at = {q + j for q in qs for j in range(w)}
+                    slots = [x for x in at if ir[0][x] in ("\x01", "\x02", "\x03") or (every and it[x][0] == "\x04")]
+                    pairs = {(bare(it[x]), bare(dt[x + shift])) for x in slots}
+                    if qs and len(pairs) == len({a for a, _ in pairs}):
+                        out[d, i] = max(out.get((d, i), (0,)), (len(qs), len(it) - w + 1, len(slots), any(a != b for a, b in pairs)))
+    return out
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    vocab = "the of A river Alice Bob runs 12 3.5 km hours near old mill . ? , Then What is red cost plus 7".split()
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, prose(rng.choice([3, 8, 13, 14, 20, 30]))) for i in range(12)] + [(50, None), (51, "")]
+    docs = []
+    for d in range(60):
+        t = prose(rng.randrange(0, 40))
+        if d % 3 == 0:
+            own = rng.choice(items[:12])[1]
+            for a, b in rng.sample([("Alice", "Carol"), ("12", "40"), ("Bob", "Dan"), ("km", "miles"), ("river", "stream")], 2):
+                own = own.replace(a, b)
+            t += rng.choice([" ", ". ", "\n"]) + rng.choice([own, own.upper(), own.lower()]) + " " + prose(5)
+        docs.append((d, t))
+    docs += [(100, None), (101, "")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=6, min_literals=3)
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["n_slots"], r["reparameterised"]) for r in got.collect()}
+    want = brute_leaks(docs, items, 6, 3)
+    assert len(want) > 10 and got == want
+
+
+def test_pipeline_is_its_brute_force(spark, tmp_path):
+    from collections import defaultdict
+
+    import corpus_pipeline
+    from test_exact import brute_groups, lower
+    from tokenizers import Tokenizer
+
+    from tessera.llm import best_fit
+
+    rng = random.Random(8)
+    langs = ["en", "fr", "de"]
+    shared = [text(rng, "en", 6) for _ in range(5)]
+    rows = []
+    for i in range(70):
+        lines = [text(rng, langs[i % 3], rng.randrange(1, 25)) for _ in range(rng.randrange(1, 4))]
+        if i % 4 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(shared))
+        if i % 9 == 0:
+            lines.append(ITEM.replace("Alice", rng.choice(["Alice", "Bob"])))
+        if i % 5 == 4:
+            copy = rows[rng.randrange(len(rows))][1].split(" ")
+            copy[rng.randrange(len(copy))] = "changed"
+            lines = [" ".join(copy)]
+        rows.append((i, "\n".join(lines), langs[i % 3]))
+    rows += [(200, "123 456", "en"), (201, None, None), (202, "", "en")]
+    d = str(tmp_path)
+    spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    docs = {i: t for i, t, _ in rows if t and any(c.isalpha() for c in t)}
+    first, holders = {}, defaultdict(set)
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    for i, t in docs.items():
+        for x in map(key, t.split("\n")):
+            if len(x) >= 10:
+                first[x] = min(first.get(x, i), i)
+                holders[x].add(i)
+    docs = {i: "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 2 or first[key(x)] == i) for i, t in docs.items()}
+    docs = {i: docs[i] for i, n, c in brute_groups(list(docs.items())) if n == 0 or c == i}
+    bad = {x for x, _ in brute_leaks(list(docs.items()), [(1, ITEM)])}
+    docs = {i: t for i, t in docs.items() if i not in bad}
+    assert bad and len(docs) > 30
+    t = Tokenizer.from_file(best_fit.default_tokenizer())
+    got, seqs = defaultdict(int), defaultdict(list)
+    for r in corpus_pipeline.run(spark, d).collect():
+        got[r["doc_id"]] += r["length"]
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in docs.items()}
+    for parts in seqs.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
 def test_urls(spark, clashing):
     day = "2024-0%d-01"
     events = [("Example.com", "block", day % 1), ("example.com", "lift", day % 3), ("a.example.com", "allow", day % 2), ("b.org/x", "block", day % 1), ("b.org", "allow", day % 1), ("b.org", "block", day % 1), (None, "block", day % 1)]
