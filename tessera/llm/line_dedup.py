@@ -26,6 +26,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Rows that share an id count as one document; each is returned.
     * Columns of ``docs`` named like a result column are replaced by it.
     * A key is compared by two 64-bit hashes with different seeds.
+    * A text, of any length, is split and put together within one row; an empty table
+      gives an empty one.
     """
     extra = [c for c in docs.columns if c not in (*_RESULTS, id_col, text_col)]
     base = docs.select(

@@ -70,7 +70,10 @@ def url_filter(captures: DataFrame, events: DataFrame, id_col: str = "page_id",
     (of equally long ones the one listed last, then the greatest), else ``unlisted``.
 
     * A null or host-less URL or a null time is ``unlisted``.
-    * Exact repeats of (id, url, time) give one row; other columns are left out.
+    * Exact repeats of (id, url, time) give one row; other columns are left out, whatever
+      their names.  An empty table of captures gives an empty one; without list entries
+      all are ``unlisted``.  A URL of any length is one row; only prefixes as deep as the
+      deepest entry are looked up.
     * An interval holds from its event on and ends before the next.
     """
     intervals = stored(validity(events), "intervals")
