@@ -97,6 +97,7 @@ def test_audit_and_findings(scanned):
     e.audit([p], judge)
     f = e.findings(["high"])
     assert len(f) == 1 and f[0]["recommendation"] == "move" and store.findings().count() == 2
+    assert [x["path"] for x in f[0]["evidence"]] == ["src/service.ts"]
     ev = e.get_evidence(f[0]["id"])
     assert ev[0]["path"] == "src/service.ts" and Federation({"shop": e}).get_evidence(f[0]["id"]) == ev
     assert e.module_context("shop")["path"] == "."
@@ -108,14 +109,16 @@ def test_analyze_reuses_answers(scanned):
 
         def complete(self, prompt, fields):
             self.calls += 1
-            return dict.fromkeys(fields, "x"), 7, 3
+            values = {"text": "x", "texts": ["x"], "claims": [{"claim": "c", "evidence": ["a.ts"]}], "ends": {"incoming": [], "outgoing": ["x"]}}
+            values["risks"] = [{"claim": "c", "evidence": [], "severity": "low"}]
+            return {k: values[kind] for k, kind in fields.items()}, 7, 3
 
     root, store, done = scanned
     e, m = Engine(store), Model()
     first = e.analyze(m)
     assert first == {"analyzed": 2, "cached": 0, "input_tokens": 14, "output_tokens": 6}
     assert e.analyze(m)["cached"] == 2 and m.calls == 2
-    assert "purpose" in e.overview()["brief"]
+    assert "objective" in e.overview()["brief"]
     r = e.token_benchmark([{"name": "c", "symbols": ["save"]}], 300)["totals"]
     assert r["complete"] == r["requested"] == 1
 
@@ -144,10 +147,31 @@ def test_small_tables(spark, tmp_path):
     assert [r["status"] for r in s.read("analysis_runs").collect()] == ["done"]
     m = spark.createDataFrame([("1", "f", "n", 1.0, "a"), ("1", "f", "n", 2.0, "a")], s.read("metrics").schema)
     assert [r["value"] for r in s.upsert_metrics(m.coalesce(1)).collect()] == [2.0]
+    many = spark.createDataFrame([("1", f"f{i}", "n", float(i), "a") for i in range(40)], s.read("metrics").schema).repartition(4)
+    s.append("metrics", many.withColumn("value", F.lit(-1.0)))
+    assert sorted(r["value"] for r in s.upsert_metrics(many).collect()) == [float(i) for i in range(40)]
     with pytest.raises(LookupError):
         Engine(s).overview()
 
 
+def test_streams_stay_in_a_repository(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    cols = "id string, qualified_name string, content_hash string"
+    seen = {}
+    for repo, sid, rows in (("a", "a1", [("x", "x", "1")]), ("b", "b1", [("y", "y", "1")]), ("a", "a2", [("x", "x", "2"), ("z", "z", "1")]), ("b", "b2", [])):
+        s.commit_snapshot(repo, "sha", {"symbols": spark.createDataFrame(rows, cols)}, sid)
+    follow(s, str(tmp_path / "ck"), lambda sid, prev, ch, rm: seen.update({sid: (prev, ch.count(), rm.count())})).awaitTermination(120)
+    assert seen == {"a1": (None, 1, 0), "b1": (None, 1, 0), "a2": ("a1", 2, 0), "b2": ("b1", 0, 1)}
+
+
+def test_a_crash_leaves_the_revision_before(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    for run in ("one", "two"):
+        s.record_run({"id": run, "snapshot_id": "1", "kind": "k", "model": "m", "cache_key": run, "status": "done"})
+    assert sorted(r["id"] for r in s.read("analysis_runs").collect()) == ["one", "two"]
+    assert spark.read.parquet(s.path("analysis_runs")).select("revision").distinct().count() == 2
+
+
 def test_command_line(spark, scanned, capsys):
     from tessera import cli
 
@@ -161,6 +185,8 @@ def test_command_line(spark, scanned, capsys):
     assert hit[0]["qualified_name"] == "Service.place" and "vector" in hit[0]["sources"]
     assert "save" in call("context", "--symbol", "save", "--max-tokens", "300")
     assert call("symbol", "save")["kind"] == "function" and call("evidence", "src/service.ts")[0]["from_line"] == 1
+    sizes = call("analyze", "--dry-run")
+    assert [x["module"] for x in sizes] == ["shop"] and 0 < sizes[0]["tokens"] <= 4000
     assert cli.doctor()["healthy"] and "Ready." in cli.doctor_text(cli.doctor())
     bad = cli.doctor_text({"required": {"git": False}, "optional": {}, "missing_required": ["git"], "healthy": False})
     assert "Not ready: git" in bad

@@ -131,7 +131,8 @@ class Fake:
 
     def complete(self, prompt, fields):
         self.calls += 1
-        return dict.fromkeys(fields, "x"), 10, 5
+        values = {"text": "x", "texts": [], "claims": [], "risks": [], "ends": {"incoming": [], "outgoing": []}}
+        return {k: values[kind] for k, kind in fields.items()}, 10, 5
 
 
 def test_analysis_cache():
@@ -147,6 +148,19 @@ def test_analysis_cache():
         analysis.check_answer({"responsibility": ""})
 
 
+def test_answers_are_typed():
+    good = {
+        "responsibility": "r", "publicApi": ["a"], "dependencies": {"incoming": [], "outgoing": ["b"]}, "mainFlows": [], "strengths": [{"claim": "c", "evidence": ["x.ts"]}],
+        "risks": [{"claim": "c", "evidence": [], "severity": "high"}], "opportunities": [], "testStrategy": "t",
+    }
+    assert analysis.check_answer(good) == good
+    for field, value in {
+        "responsibility": 1, "publicApi": "a", "mainFlows": [1], "dependencies": {"incoming": []}, "strengths": [{"claim": "c"}], "risks": [{"claim": "c", "evidence": [], "severity": "bad"}],
+    }.items():
+        with pytest.raises(ValueError, match=field):
+            analysis.check_answer(good | {field: value})
+
+
 def test_work_list(spark):
     cols = "snapshot_id string, subject_id string, level string, content_hash string, prompt_version string, model string, content_json string, created_at int, id string"
     s = spark.createDataFrame([("1", "m", "module", "h", "1", "x", "old", 1, "a"), ("1", "m", "module", "h", "1", "x", "new", 2, "b")], cols)
