@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, ranges, span_codes, stored
+from .common import lean, numbered, ranges, span_codes, stored
 
 # --- tokenising ------------------------------------------------------------------
 
@@ -158,7 +158,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
             row = 0
             while row < batch.num_rows:
                 part, chars = [], 0
-                while row + len(part) < batch.num_rows and (not part or chars < 2_000_000):
+                while row + len(part) < batch.num_rows and (not part or chars < 500_000):
                     part.append(texts[row + len(part)].as_py() or "")
                     chars += len(part[-1])
                 ids, counts = enc.encode(part)
@@ -186,7 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
                 row += len(part)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(pieces, schema)
+    return src.mapInArrow(lean(pieces), schema)
 
 
 # --- packing ---------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranges, text_chunks
+from .common import few_at_once, lean, ranges, text_chunks
 
 _TRI, _PENTA = 1 << 16, 1 << 18
 #: Code points of scripts (blocks of the Unicode standard); what is in none
@@ -257,9 +257,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         import pyarrow.compute as pc
 
         m = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in few_at_once(batches):
             n = batch.num_rows
             pred, score, found = np.full(n, -1), np.zeros(n), [None] * n
             table = pa.table({"text": pc.if_else(batch.column(1), pc.struct_field(batch.column(0), text_col), "")})
@@ -298,7 +296,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     from pyspark.sql import types as T
 
     schema = T.StructType([src.schema["row"], *T._parse_datatype_string(f"lang_pred string, score double{more}").fields])
-    out = src.mapInArrow(predict, schema)
+    out = src.mapInArrow(lean(predict), schema)
     return out.select("row.*", *[c for c in out.columns if c != "row"])
 
 
