@@ -18,8 +18,12 @@ PY_SUFFIXES = (".py", "/__init__.py")
 
 def resolve_name(symbols: DataFrame, names: DataFrame) -> DataFrame:
     """``name, id, how``: an exact match, else the suffix ``.name``, else any case; the
-    first by path and line of the best kind.  One join per kind keeps them equi-joins."""
-    s = symbols.select("id", "qualified_name", "path", "start_line")
+    first by path and line of the best kind.  One join per kind keeps them equi-joins.
+
+    A qualified name decides alone what it matches, so only its first symbol goes into the
+    joins: a name that many symbols share is one row there.
+    """
+    s = symbols.groupBy("qualified_name").agg(F.min(F.struct("path", "start_line", "id")).alias("m")).select("qualified_name", "m.*")
     n = names.toDF("name").distinct()
     exact = n.join(s, F.col("name") == F.col("qualified_name")).withColumn("how", F.lit(0))
     # every dotted suffix of a qualified name is a key

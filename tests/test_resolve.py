@@ -90,3 +90,13 @@ def test_affected_are_direct_dependents(spark):
     e = frame(spark, [("2", "1", "IMPORTS"), ("3", "2", "IMPORTS")], "source_id string, target_id string, edge_type string")
     got = resolve.affected_modules(frame(spark, [("a/x.ts",)], "path string"), f, m, e)
     assert {r["module"]: r["reason"] for r in got.collect()} == {"a": "changed", "b": "imports"}
+
+
+def test_a_name_of_many_symbols_is_one_row_in_the_joins(spark):
+    s = spark.range(300).selectExpr("id", "concat('a.', elt(cast(id % 3 as int) + 1, 'Run', 'run', 'go')) as qualified_name", "concat('p', id % 7) as path", "cast(id % 5 as int) as start_line")
+    got = resolve.resolve_name(s, spark.createDataFrame([("a.run",), ("Run",), ("A.GO",), ("none",)], "name string"))
+    rows = [tuple(r) for r in s.collect()]
+    first = lambda q: min((p, line, i) for i, n, p, line in rows if n == q)[2]
+    assert sorted(map(tuple, got.collect())) == [("A.GO", first("a.go"), "case"), ("Run", first("a.Run"), "suffix"), ("a.run", first("a.run"), "exact")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [qualified_name") == 3  # one below each kind of join
