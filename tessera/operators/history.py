@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_RUN = 250_000  # rows of files in commits that one task pairs
+
 
 def snapshot_counts(tables: dict[str, DataFrame], snapshot_id: str | None = None) -> DataFrame:
     """``name, rows`` of each table, of one snapshot or of all."""
@@ -41,9 +43,11 @@ def co_change(commits: DataFrame, least: int = 3, limit: int | None = 50, smalle
     """``a, b, commits``: pairs of files in one commit, a < b, counted over commits.
 
     ``commits``: commit, path.  Commits of under ``smallest`` or over ``largest`` files don't
-    count, which bounds the pairs of a commit; ties by (a, b).
+    count, which bounds the pairs of a commit; ties by (a, b).  Tasks follow the exact number
+    of rows, and so each holds a bounded number of commits and of pairs.
     """
-    one = commits.groupBy("commit").agg(F.collect_set("path").alias("paths")).where(F.size("paths").between(smallest, largest))
+    tasks = max(commits.sparkSession.sparkContext.defaultParallelism, -(-commits.count() // _RUN))
+    one = commits.repartition(tasks, "commit").groupBy("commit").agg(F.collect_set("path").alias("paths")).where(F.size("paths").between(smallest, largest))
     # pairs are made within the row of a commit: no self-join, one shuffle for the counts
     p = F.array_sort("paths")
     pairs = one.select(p.alias("p")).select(
@@ -53,7 +57,8 @@ def co_change(commits: DataFrame, least: int = 3, limit: int | None = 50, smalle
             )
         ).alias("x")
     )
-    out = pairs.groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("commits")).where(F.col("commits") >= least)
+    # few pairs repeat within a task, so they are counted after the shuffle alone
+    out = pairs.select("x.a", "x.b").repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("commits")).where(F.col("commits") >= least)
     return out.orderBy(F.desc("commits"), "a", "b").limit(limit) if limit is not None else out
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -107,3 +108,14 @@ def test_savings(spark):
     c = spark.createDataFrame([(1859, 717, 434, 6, 6), (1287, 1302, 553, 10, 10)], "baseline long, context long, map_only long, complete long, requested long")
     r = history.savings(c).first()
     assert (r["saved"], float(r["percent"])) == (1127, 35.8)
+
+
+def test_co_change_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(history, "_RUN", 20, raising=False)
+    rng = random.Random(6)
+    rows = [(c, f"f{rng.randrange(9)}") for c in range(80) for _ in range(rng.randrange(1, 6))]
+    got = history.co_change(spark.createDataFrame(rows, "commit long, path string"), least=2, limit=None)
+    assert got.rdd.getNumPartitions() == -(-len(rows) // 20)
+    sets = {c: {p for k, p in rows if k == c} for c in range(80)}
+    want = Counter((a, b) for s in sets.values() for a in s for b in s if a < b)
+    assert {(r["a"], r["b"]): r["commits"] for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
