@@ -117,14 +117,22 @@ def innermost(points: DataFrame, spans: DataFrame, cell: int = 512) -> DataFrame
     that the join is an equi-join on (path, cell) with few spans per key.  Ties: earlier
     start, then smaller id.
     """
+    hit = _within(points.select("point_id", "path", "line"), spans, cell)
+    return hit.groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.span_id")
+
+
+def _within(points: DataFrame, spans: DataFrame, cell: int = 512) -> DataFrame:
+    """Covered points with ``m``, the smallest span that holds them.  The spans of a cell
+    meet a point as one list, so the join gives a row a point and nothing is grouped."""
     s = spans.where("end_line >= start_line").select(
-        F.col("id").alias("span_id"), F.col("path").alias("sp"), "start_line", "end_line",
+        F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", F.col("id").alias("span_id"), "end_line").alias("span"), F.col("path").alias("sp"),
         F.explode(F.sequence(F.floor(F.col("start_line") / cell), F.floor(F.col("end_line") / cell))).alias("sc"),
     )
-    p = points.select("point_id", "path", "line", F.floor(F.col("line") / cell).alias("pc"))
-    hit = p.join(s, (F.col("path") == F.col("sp")) & (F.col("pc") == F.col("sc")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    least = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "span_id"))
-    return hit.groupBy("point_id").agg(least.alias("m")).select("point_id", "m.span_id")
+    s = s.groupBy("sp", "sc").agg(F.collect_list("span").alias("spans"))
+    p = points.withColumn("pc", F.floor(F.col("line") / cell))
+    hit = p.join(s, (F.col("path") == F.col("sp")) & (F.col("pc") == F.col("sc")))
+    least = F.array_min(F.filter("spans", lambda x: F.col("line").between(x["start_line"], x["end_line"])))
+    return hit.withColumn("m", least).where("m is not null").drop("spans", "sp", "sc", "pc")
 
 
 def map_definitions(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -152,14 +160,12 @@ def reference_edges(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     functions and methods, DEPENDS_ON else; self-references are left out; the first
     evidence of an edge stays and ``hits`` counts all.
     """
-    defs = map_definitions(occurrences, symbols)
-    refs = occurrences.where("not is_definition").join(defs.withColumnRenamed("id", "target_id"), "symbol")
-    refs = refs.withColumn("point_id", F.col("ordinal"))
-    at = innermost(refs.select("point_id", "path", "line"), symbols).withColumnRenamed("span_id", "source_id")
     kind = symbols.select(F.col("id").alias("target_id"), F.col("kind").alias("target_kind")).dropDuplicates(["target_id"])
-    hits = refs.join(at, "point_id").where("source_id <> target_id").join(kind, "target_id")
     type_ = F.when(F.col("target_kind").isin("function", "method"), "CALLS").otherwise("DEPENDS_ON")
-    hits = hits.withColumn("edge_type", type_)
+    defs = map_definitions(occurrences, symbols).withColumnRenamed("id", "target_id").join(kind, "target_id").select("symbol", "target_id", type_.alias("edge_type"))
+    refs = occurrences.where("not is_definition").join(defs, "symbol").select("ordinal", "path", "line", "target_id", "edge_type")
+    # a reference takes along all that its edge needs and is not shuffled again to be joined with its source
+    hits = _within(refs, symbols).withColumn("source_id", F.col("m.span_id")).where("source_id <> target_id")
     first = F.min(F.struct("ordinal", "path", "line"))
     out = hits.groupBy("source_id", "target_id", "edge_type").agg(first.alias("f"), F.count(F.lit(1)).alias("hits"))
     return out.select("source_id", "target_id", "edge_type", F.lit(0.9).alias("confidence"), F.lit("scip").alias("analyzer"), "f.path", "f.line", "hits")

@@ -71,8 +71,9 @@ def spans(t: Tables) -> DataFrame:
 
 def points(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("path"))
-    li = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    p = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    # joined first: the rows of an order are then where they are grouped
+    p = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_linenumber", "path").agg(F.min("l_partkey").alias("part"))
     return p.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("point_id"), "path", (F.col("l_orderkey") + F.col("l_linenumber")).alias("line"), "part")
 
 

@@ -100,3 +100,19 @@ def test_a_name_of_many_symbols_is_one_row_in_the_joins(spark):
     assert sorted(map(tuple, got.collect())) == [("A.GO", first("a.go"), "case"), ("Run", first("a.Run"), "suffix"), ("a.run", first("a.run"), "exact")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [qualified_name") == 3  # one below each kind of join
+
+
+def test_references_are_shuffled_once_for_each_join(spark):
+    occ = frame(spark, [("x/f.", True, "a", 1, 0), ("x/f.", False, "a", 12, 1), ("x/f.", False, "b", 3, 2), ("x/f.", False, "a", 2, 3)], "symbol string, is_definition boolean, path string, line int, ordinal int")
+    sym = frame(spark, [(1, "f", "a", 1, 5, "function"), (2, "g", "a", 10, 20, "class"), (3, "h", "a", 11, 13, "class")], "id int, qualified_name string, path string, start_line int, end_line int, kind string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = resolve.reference_edges(occ, sym)
+        assert [tuple(r) for r in got.collect()] == [(3, 1, "CALLS", 0.9, "scip", "a", 12, 1)]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in was.items():
+            spark.conf.set(k, x)
+    assert sum(" Exchange hashpartitioning(" in x for x in plan.splitlines()) <= 11
