@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import words
 
+_LINKS = 1_000_000  # links that one task of a round follows
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration: checkpoint in the session's shared folder, or, with
@@ -28,6 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def dealt(spark: SparkSession, partitions: int):
+    """Plans made and run within keep ``partitions`` in every shuffle: a table that is cut
+    here has a known partitioning, and joins on its key don't shuffle it again."""
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    was = {k: spark.conf.get(k) for k in fixed}
+    try:
+        for k, x in fixed.items():
+            spark.conf.set(k, x)
+        yield
+    finally:
+        for k, x in was.items():
+            spark.conf.set(k, x)
+
+
 def fan_in(edges: DataFrame, types: list[str] | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """``target_id, fan_in``: how many edges come in, of the given types or of all.
 
@@ -119,16 +137,21 @@ def personalized_rank(symbols: DataFrame, edges: DataFrame, query: str, seeds: l
     total = rel.agg(F.sum("weight")).first()[0] or 1.0
     base = rel.select("id", "relevance", (F.col("weight") / F.lit(total)).alias("pref"))
     ids = base.select("id")
-    links = edges.where("edge_type <> 'CONTAINS'").select("source_id", "target_id").distinct()
-    links = links.join(ids, links.source_id == ids.id, "left_semi").join(ids.withColumnRenamed("id", "t"), F.col("target_id") == F.col("t"), "left_semi")
-    out = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("degree")).select(F.col("source_id").alias("s"), (F.lit(damping) / F.col("degree")).alias("part"))
-    links = cut(links.join(out, F.col("source_id") == F.col("s")).select("source_id", "target_id", "part"))
+    links = edges.where("edge_type <> 'CONTAINS'").select("source_id", "target_id").join(ids.withColumnRenamed("id", "t"), F.col("target_id") == F.col("t"), "left_semi")
+    # a row a source with all its targets, which is also what tells links apart
+    links = links.groupBy("source_id").agg(F.collect_set("target_id").alias("to")).join(ids, F.col("source_id") == F.col("id"), "left_semi")
+    links = cut(links.withColumn("part", F.lit(damping) / F.size("to")))
+    many = links.agg(F.sum(F.size("to"))).first()[0] or 0
+    tasks = max(symbols.sparkSession.sparkContext.defaultParallelism, -(-many // _LINKS))
     # the rank after a round is a sum of powers of the links applied to the preferences, so
-    # a round is one join and one sum; what has no way out only changes the coefficients
-    powers = [cut(base.select("id", F.col("pref").alias("w")))]
-    for _ in range(rounds):
-        step = links.join(powers[-1], F.col("source_id") == F.col("id")).groupBy(F.col("target_id").alias("id"))
-        powers.append(cut(step.agg(F.sum(F.col("w") * F.col("part")).alias("w"))))
+    # a round is one join and one sum; what has no way out only changes the coefficients.
+    # Links stay where they are: a round shuffles what goes along them, summed by task
+    with dealt(symbols.sparkSession, tasks):
+        links = cut(links.repartition(tasks, "source_id").sortWithinPartitions("source_id"))
+        powers = [cut(base.select("id", F.col("pref").alias("w")).repartition(tasks, "id"))]
+        for _ in range(rounds):
+            step = links.hint("merge").join(powers[-1], F.col("source_id") == F.col("id")).select(F.explode("to").alias("v"), (F.col("w") * F.col("part")).alias("w"))
+            powers.append(cut(step.groupBy(F.col("v").alias("id")).agg(F.sum("w").alias("w"))))
 
     def each(of: list[DataFrame], factors: list[float]) -> DataFrame:
         parts = [w.select("id", (F.col("w") * F.lit(x)).alias("w"), F.lit(k).alias("k")) for k, (w, x) in enumerate(zip(of, factors, strict=True))]

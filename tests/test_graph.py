@@ -119,3 +119,13 @@ def test_co_change_tasks_follow_the_rows(spark, monkeypatch):
     sets = {c: {p for k, p in rows if k == c} for c in range(80)}
     want = Counter((a, b) for s in sets.values() for a in s for b in s if a < b)
     assert {(r["a"], r["b"]): r["commits"] for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_links_stay_where_they_are_in_a_round(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    _, _, ed, sd = make(spark, 5)
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    graph.personalized_rank(sd, ed, "load user5", ["n3"], rounds=3).collect()
+    assert [p.count("Exchange hashpartitioning") for p in plans[-3:]] == [1, 1, 1]
+    assert conf == {k: spark.conf.get(k) for k in conf}
